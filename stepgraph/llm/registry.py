@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_license, op3_preference, op5_quality, op6_secret, op7_toxicity, op8_mix, op9_decontaminate
+from . import op1_license, op2_repeats, op3_preference, op5_quality, op6_secret, op7_toxicity, op8_mix, op9_decontaminate
 
 QUERIES = {
     "op1_license_scan": op1_license.op1_license_scan,
+    "op2_repeat_removal": op2_repeats.op2_repeat_removal,
     "op3_preference_format": op3_preference.op3_preference_format,
     "op5_quality": op5_quality.op5_quality,
     "op6_secret_scan": op6_secret.op6_secret_scan,
