@@ -10,8 +10,8 @@ is done with shuffles that hold few rows for each text:
    one, so a text becomes a row for each run of windows with the same anchor. Equal windows have equal anchors at the
    same place.
 2. Runs whose whole stretch of text and anchor are equal form a class. Two or more: each window of theirs repeats.
-3. Only where runs share the anchor but not the whole stretch (at the edges of passages) their single windows are
-   hashed, one run for each class, and put in classes of their own.
+3. Only where runs share the anchor but not the whole stretch (at the edges of passages) they are cut into blocks of
+   windows, one run for each class; only blocks that hold an edge are taken window by window.
 
 No group is gathered: classes are counts and smallest positions with map-side combining, joined back to their rows.
 """
@@ -30,6 +30,7 @@ from .common import Rolling, U, mix, pieces, read, stored
 
 LENGTH = 400
 GRAM = 100
+BLOCK = 16  # windows of an edge run that are tested together
 PIECE = 2 << 20  # longer texts are cut into pieces that overlap by LENGTH - 1 bytes
 _BITS = 24  # of an anchor's place within a piece
 
@@ -59,18 +60,18 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.n
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """row, first and last window start within the row, anchor's hash, hash of anchor and whole stretch."""
+    """row, first and last window start and anchor within the row, anchor's hash, hash of anchor and whole stretch."""
     n = len(data) - length + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, empty.astype(U), empty.astype(U)
+        return empty, empty, empty, empty, empty.astype(U), empty.astype(U)
     mark = np.zeros(n + 1, np.int64)
     long = np.diff(offsets) >= length
     np.add.at(mark, offsets[:-1][long], 1)
     np.add.at(mark, offsets[1:][long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(mark[:-1]))
     if not len(start):
-        return empty, empty, empty, empty.astype(U), empty.astype(U)
+        return empty, empty, empty, empty, empty.astype(U), empty.astype(U)
     roll = Rolling(data)
     place = np.arange(len(data) - gram + 1)
     grams = roll.of(place, place + gram)
@@ -84,7 +85,16 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     key = grams[anchor]
     whole = mix(roll.of(first, last + length) ^ mix(key + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15)))
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first - offsets[row], last - offsets[row], key, whole
+    return row, first - offsets[row], last - offsets[row], anchor - offsets[row], key, whole
+
+
+def blocks_of(first: int, last: int, anchor: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(low, high, core's start, whole's start or -1, label) of a run's windows: those whose offset from the anchor
+    has the same quotient by BLOCK; whole is -1 if the run ends within the block."""
+    for label in range((anchor - last) // BLOCK, (anchor - first) // BLOCK + 1):
+        a, b = anchor - label * BLOCK - BLOCK + 1, anchor - label * BLOCK
+        low, high = max(first, a), min(last, b)
+        yield low, high, b, a if (low, high) == (a, b) else -1, label
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -105,12 +115,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
         for batch in it:
             for a, _, data, offsets in pieces(batch.column(2), PIECE):
                 for at, part, ends in stretches(data, offsets):
-                    row, first, last, key, whole = runs_of(part, ends, length, gram)
+                    row, first, last, place, key, whole = runs_of(part, ends, length, gram)
                     pick = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first + at), pa.array(last + at), _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor", "whole"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first + at), pa.array(last + at), pa.array(place + at), _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor_at", "anchor", "whole"])
 
-    runs = stored(own.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_runs, "row_id long, doc_id long, first long, last long, anchor long, whole long"), "runs")
-    classes = runs.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "first", "last")).alias("head"))
+    runs = stored(own.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(to_runs, "row_id long, doc_id long, first long, last long, anchor_at long, anchor long, whole long"), "runs")
+    classes = runs.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "first", "last", "anchor_at")).alias("head"))
     kinds = classes.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     classes = stored(classes.join(kinds, "anchor"), "run-classes")
 
@@ -120,28 +130,64 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
         copies = copies.where((F.col("row_id") != F.col("head.row_id")) | (F.col("first") != F.col("head.first")))
     copies = copies.select("row_id", F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")).alias("place"))
 
-    edges = classes.where("kinds > 1").groupBy("head.row_id").agg(F.collect_list(F.struct("head.first", "head.last")).alias("runs"))
+    # Edge runs, one of each class. Their windows are taken in blocks of BLOCK neighbouring offsets from the anchor: a
+    # window can only repeat if the core that all windows of its block share does, and if the block's whole stretch
+    # does, all of them do. So single windows are needed only in blocks that hold a passage's edge.
+    texts = own.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    edges = classes.where("kinds > 1").groupBy("head.row_id").agg(F.collect_list(F.struct("head.first", "head.last", "head.anchor_at")).alias("runs"))
 
-    def to_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids, doc_ids, wanted = batch.column(0), batch.column(1), batch.column(3).to_pylist()
             for a, b, data, offsets in pieces(batch.column(2), PIECE):
+                cuts = [(n, *x) for n in range(a, b) for r in wanted[n] for x in blocks_of(r["first"], r["last"], r["anchor_at"])]
+                if not cuts:
+                    continue
+                row, low, high, core, whole, label = np.array(cuts, np.int64).T
+                base = offsets[row - a]
                 roll = Rolling(data)
-                start = [(n, offsets[n - a] + np.arange(r["first"], r["last"] + 1)) for n in range(a, b) for r in wanted[n]]
+                tag = label.astype(U) * U(0x9E3779B97F4A7C15)
+                cores = mix(roll.of(base + core, base + core + length - BLOCK + 1) + tag)
+                wholes = pa.array(mix(roll.of(base + np.maximum(whole, 0), base + np.maximum(whole, 0) + np.where(whole < 0, 0, length + BLOCK - 1)) + tag).view(np.int64), mask=whole < 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), doc_ids.take(pa.array(row)), pa.array(low), pa.array(high), _signed(cores), wholes], ["row_id", "doc_id", "low", "high", "core", "whole"])
+
+    blocks = texts.join(edges, "row_id").mapInArrow(to_blocks, "row_id long, doc_id long, low long, high long, core long, whole long")
+    cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    head = F.min(F.struct("doc_id", "row_id", "low")).alias("head")
+    wholes = blocks.where("whole IS NOT NULL").groupBy("whole").agg(F.count("*").alias("n"), *[head] * keep_first).where("n > 1").withColumnRenamed("n", "copies")
+    likely = blocks.join(cores, "core", "left_semi").join(wholes, "whole", "left")
+    full = likely.where("copies IS NOT NULL")
+    if keep_first:
+        full = full.where((F.col("row_id") != F.col("head.row_id")) | (F.col("low") != F.col("head.low")))
+    full = full.select("row_id", F.struct(F.col("low").alias("start"), (F.col("high") + length).alias("end")).alias("place"))
+    # with keep_first, a block's first copy still takes part by its single windows
+    alone = likely.where("copies IS NULL" if not keep_first else "copies IS NULL OR (row_id = head.row_id AND low = head.low)")
+
+    def to_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids, doc_ids, wanted = batch.column(0), batch.column(1), batch.column(3).to_pylist()
+            for a, b, data, offsets in pieces(batch.column(2), PIECE):
+                start = [(n, offsets[n - a] + np.arange(r["low"], r["high"] + 1)) for n in range(a, b) for r in wanted[n]]
                 if not start:
                     continue
-                row = pa.array(np.repeat([n for n, _ in start], [len(x) for _, x in start]))
+                row = np.repeat([n for n, _ in start], [len(x) for _, x in start])
                 at = np.concatenate([x for _, x in start])
-                place = at - offsets[np.asarray(row) - a]
-                yield pa.RecordBatch.from_arrays([_signed(roll.of(at, at + length)), doc_ids.take(row), ids.take(row), pa.array(place)], ["window", "doc_id", "row_id", "start"])
-
-    texts = own.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text").join(edges, "row_id")
-    windows = stored(texts.mapInArrow(to_windows, "window long, doc_id long, row_id long, start long"), "windows")
-    shared = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "start")).alias("head")).where("n > 1")
+                yield pa.RecordBatch.from_arrays([_signed(Rolling(data).of(at, at + length)), doc_ids.take(pa.array(row)), ids.take(pa.array(row)), pa.array(at - offsets[row - a])], ["window", "doc_id", "row_id", "start"])
+
+    # A fully repeated block has no single windows, but may hold the partner of one elsewhere: those whose core is
+    # shared with a block that is open come along.
+    open_cores = alone.select("core").distinct()
+    full_blocks = likely.where("copies IS NOT NULL").groupBy("whole", "core").agg(F.min(F.struct("row_id", "low", "high")).alias("one"))
+    partners = full_blocks.join(open_cores, "core", "left_semi").select("one.row_id", "one.low", "one.high")
+    wanted = alone.select("row_id", "low", "high").unionByName(partners).distinct().groupBy("row_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    windows = texts.join(wanted, "row_id").mapInArrow(to_windows, "window long, doc_id long, row_id long, start long")
+    head = F.min(F.struct("doc_id", "row_id", "start")).alias("head")
+    shared = windows.groupBy("window").agg(F.count("*").alias("n"), *[head] * keep_first).where("n > 1")
     single = windows.join(shared, "window")
     if keep_first:
-        single = single.where((F.col("row_id") != F.col("head.row_id")) | (windows["start"] != F.col("head.start")))
-    single = single.select("row_id", F.struct(windows["start"].alias("start"), (windows["start"] + length).alias("end")).alias("place"))
+        single = single.where((F.col("row_id") != F.col("head.row_id")) | (F.col("start") != F.col("head.start")))
+    single = single.select("row_id", F.struct(F.col("start"), (F.col("start") + length).alias("end")).alias("place"))
+    single = single.unionByName(full)
     places = copies.unionByName(single).groupBy("row_id").agg(F.collect_list("place").alias("places"))
     return own, places
 
