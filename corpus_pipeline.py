@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepgraph.llm import op5_quality, op6_secret, op8_mix, op9_decontaminate
+from stepgraph.llm import op4_near, op5_quality, op6_secret, op8_mix, op9_decontaminate
 from stepgraph.llm.common import read, stored
 
 
@@ -15,6 +15,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op5_quality.accepted(docs, model)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the row with its smallest doc_id; of rows that share that id, one."""
+    found = op4_near.near_duplicates(docs)
+    one = found.where("kept").groupBy("component_id").agg(F.min("row_id").alias("_row"))
+    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return own.join(one.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item. Rows are told apart by id and text, so a null id is a row too."""
     own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
@@ -33,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op8_mix.mixed(op8_mix.items_of(docs)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("quality", quality), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
 
 ORACLE_SQL = None  # a trained classifier has no SQL; tests hold each stage against a plain version
 

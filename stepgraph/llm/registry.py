@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import op1_license, op2_repeats, op3_preference, op5_quality, op6_secret, op7_toxicity, op8_mix, op9_decontaminate
+from . import op1_license, op2_repeats, op3_preference, op4_near, op5_quality, op6_secret, op7_toxicity, op8_mix, op9_decontaminate, op10_neighbours
 
 QUERIES = {
     "op1_license_scan": op1_license.op1_license_scan,
     "op2_repeat_removal": op2_repeats.op2_repeat_removal,
     "op3_preference_format": op3_preference.op3_preference_format,
+    "op4_near_duplicates": op4_near.op4_near_duplicates,
     "op5_quality": op5_quality.op5_quality,
     "op6_secret_scan": op6_secret.op6_secret_scan,
     "op7_toxicity": op7_toxicity.op7_toxicity,
     "op8_mix_sources": op8_mix.op8_mix_sources,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
+    "op10_nearest_neighbours": op10_neighbours.op10_nearest_neighbours,
 }
 
 ORACLE_SQL = {
