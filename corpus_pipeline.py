@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the row with its smallest doc_id; of rows that share that id, one."""
     found = op4_near.near_duplicates(docs)
-    one = found.where("kept").groupBy("component_id").agg(F.min("row_id").alias("_row"))
+    one = found.where("kept").groupBy("group").agg(F.min("row_id").alias("_row"))
     own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     return own.join(one.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 

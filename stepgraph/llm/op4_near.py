@@ -140,7 +140,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text); also row_id (of id and text) and
+    group, which tells components apart where ids are null.
 
     Sets are linked if 100 * intersection >= similar * union; a component's id is its smallest doc_id. A null text or
     one without words has an empty set, is linked with nothing and is its own component. Rows with equal sets are
@@ -177,9 +178,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
     found = components(links)
 
     lows = nodes.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    named = lows.join(lows.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
+    named = lows.join(lows.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id", F.col("component").alias("group"))
     out = held.drop("signature").join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "row_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "row_id", F.when(F.col("n_shingles") > 0, F.col("group")).otherwise(F.col("row_id")).alias("group"), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def within_errors(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
