@@ -110,6 +110,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     """
     gram = max(1, min(GRAM, length // 4))
     own = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
+    # one shape for all joins with texts, so Spark shuffles them once
+    texts = own.select("row_id", *docs.columns)
 
     def to_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -133,7 +135,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     # Edge runs, one of each class. Their windows are taken in blocks of BLOCK neighbouring offsets from the anchor: a
     # window can only repeat if the core that all windows of its block share does, and if the block's whole stretch
     # does, all of them do. So single windows are needed only in blocks that hold a passage's edge.
-    texts = own.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text")
     edges = classes.where("kinds > 1").groupBy("head.row_id").agg(F.collect_list(F.struct("head.first", "head.last", "head.anchor_at")).alias("runs"))
 
     def to_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     single = single.select("row_id", F.struct(F.col("start"), (F.col("start") + length).alias("end")).alias("place"))
     single = single.unionByName(full)
     places = copies.unionByName(single).groupBy("row_id").agg(F.collect_list("place").alias("places"))
-    return own, places
+    return texts, places
 
 
 def merged(places: list[dict]) -> list[tuple[int, int]]:

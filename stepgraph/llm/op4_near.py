@@ -7,8 +7,9 @@ within ERRORS differ in at most one symbol of some chunk: each node enumerates,
 symbol left out, and nodes that meet at such a key are candidates. That finds all pairs within the distance.
 
 Candidates are confirmed on full sets. No bucket emits all its pairs: first each member is held against the bucket's
-smallest node, and buckets whose members are linked by then are done. What is left (members of a bucket that still
-belong to different components) is joined across components only, until nothing new can link.
+smallest node, and buckets whose members are linked by then are done. The members of buckets that still hold more than
+one component are paired across components only, and only where they share one of their rarest shingles: an exact
+filter that passages which many documents share don't get through.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Rolling, U, lowered, mix, pieces, read, stored, words_of
@@ -165,15 +167,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
     links = stored(confirmed(tried, sets, similar), "links")
     found = stored(components(links), "components")
 
-    # across components: only in buckets that still hold more than one
+    # across components: only nodes of buckets that still hold more than one
     placed = many.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    placed = stored(placed.join(open_, "key", "left_semi").join(sizes, "node"), "open")
-    left = placed.select("key", F.col("node").alias("a"), F.col("component").alias("p"), F.col("n").alias("m"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("component").alias("q"), "n")
-    across = left.join(right, "key").where("p < q AND 100 * least(m, n) >= %d * greatest(m, n)" % similar).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    across = across.join(tried, ["a", "b"], "left_anti")
-    more = confirmed(within_errors(across, nodes), sets, similar)
+    placed = placed.join(open_, "key", "left_semi").select("node", "component").distinct().join(sizes, "node")
+    across = close(rare_partners(stored(placed, "open"), sets, similar)).join(tried, ["a", "b"], "left_anti")
+    more = confirmed(across, sets, similar)
     links = stored(links.unionByName(more), "links")
     found = components(links)
 
@@ -183,19 +182,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
     return out.select("doc_id", "row_id", F.when(F.col("n_shingles") > 0, F.col("group")).otherwise(F.col("row_id")).alias("group"), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def within_errors(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures differ in at most ERRORS symbols, as the join promises and no further."""
+def rare_partners(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a > b) of nodes of different components that can be alike: placed is (node, component, n).
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for a in range(0, batch.num_rows, 5000):
-                part = batch.slice(a, 5000)
-                x, y = (np.frombuffer(b"".join(part.column(n).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for n in (2, 3))
-                keep = pa.array((x != y).sum(1) <= ERRORS)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
-
-    signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-    return signed.select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
+    In any one order of all shingles, two alike sets share one of their first n - ceil(n * similar / 100) + 1. The order
+    is from rare to frequent, so what many documents share (a passage, a licence) comes last and proposes no pairs.
+    Rows of a shingle's largest component are never joined with each other.
+    """
+    shingles = placed.join(sets, "node").select("node", F.explode("held").alias("shingle"))
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    known = shingles.join(often, "shingle").join(placed, "node")
+    of_node = W.partitionBy("node")
+    single = F.col("n") - F.count("*").over(of_node)  # shingles that no other node has come first
+    rank = single + F.row_number().over(of_node.orderBy("df", "shingle"))
+    first = known.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)
+    first = stored(first.select("shingle", "node", "component", "n"), "rare")
+    largest = first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    left = first.join(largest, "shingle").where("component <> largest").select("shingle", F.col("node").alias("a"), F.col("component").alias("p"), F.col("n").alias("m"))
+    right = first.select("shingle", F.col("node").alias("b"), F.col("component").alias("q"), "n")
+    pairs = left.join(right, "shingle").where(f"p <> q AND 100 * least(m, n) >= {similar} * greatest(m, n)")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
