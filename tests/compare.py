@@ -8,7 +8,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def rows(frame):
     cols = sorted(frame.columns)
     plain = frame[cols].astype(object)
-    return sorted(map(repr, plain.where(frame[cols].notna(), None).values.tolist()))
+    whole = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v  # noqa: E731  pandas turns integers with nulls to floats
+    return sorted(repr([whole(v) for v in row]) for row in plain.where(frame[cols].notna(), None).values.tolist())
 
 
 def oracle(sql, sf_dir):
