@@ -105,7 +105,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     """(docs with row_id, spans: row_id, places: array of (start, end)) of docs with doc_id and text.
 
     A byte is in a span if a string of `length` bytes over it also starts elsewhere; with keep_first, only if such a
-    string starts earlier (in order of doc_id, then place), so the first copy stays. Spans may overlap. A null text
+    string starts earlier (in order of doc_id, then place), so the first copy stays; rows equal in
+    id and text then count as one copy. Spans may overlap. A null text
     counts as empty; each row is a text of its own, so repeated rows repeat each other. Further columns are kept.
     """
     gram = max(1, min(GRAM, length // 4))
