@@ -27,9 +27,9 @@ from .common import read, stored
 TOP = 20
 NEIGHBOURS = 24  # of a node in the graph
 SAMPLE = 24  # neighbours of each direction that an iteration joins
-ITERATIONS = 3
+ITERATIONS = 4
 PIVOTS, NEAR_PIVOTS, BLOCK = 1024, 6, 2048
-BEAM, OPENED, HOPS = 192, 48, 4  # of a search: nodes kept, nodes opened a round, rounds
+BEAM, OPENED, HOPS = 256, 64, 5  # of a search: nodes kept, nodes opened a round, rounds
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
