@@ -13,6 +13,7 @@ words that weigh most in each toxic document are its positive examples, words of
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,17 +141,20 @@ def fitted(texts: list[bytes], y: np.ndarray) -> Machine:
     if not len(y) or y.min() == y.max():
         return flat
     # toxic documents that hold each word, and all documents; copies of a text count once
-    counts: dict[bytes, list[int]] = {}
-    bags = []
-    for text, toxic in {t: v for t, v in zip(texts, y, strict=True)}.items():
+    # Words are held once; what only one document has, and that no toxic one, is dropped before counting goes on.
+    once = {t: v for t, v in zip(texts, y, strict=True)}
+    n_docs, n_toxic = Counter(), Counter()
+    for text, toxic in once.items():
         bag = {w for w in text.lower().split() if 3 <= len(w) <= 40}
-        bags.append((bag, toxic))
-        for w in bag:
-            c = counts.setdefault(w, [0, 0])
-            c[0] += int(toxic)
-            c[1] += 1
+        n_docs.update(bag)
+        if toxic:
+            n_toxic.update(bag)
+    counts = {w: (n_toxic.get(w, 0), k) for w, k in n_docs.items() if k > 1 or w in n_toxic}
+    del n_docs
+    held = {w: w for w in counts}
+    bags = [({held[w] for w in text.lower().split() if w in held} if v else frozenset(), v) for text, v in once.items()]
     share = sum(v for _, v in bags) / len(bags)
-    excess = {w: (c[0] - c[1] * share) / np.sqrt(c[1] * share + 1) for w, c in counts.items() if c[0] or c[1] > 1}
+    excess = {w: (c[0] - c[1] * share) / np.sqrt(c[1] * share + 1) for w, c in counts.items()}
     by_excess = sorted((w for w in excess if counts[w][0] >= 3), key=lambda w: (-excess[w], w))
     suspects = [w for w in by_excess[: LANDMARKS // 2] if excess[w] > 2]
     clean = sorted((w for w in excess if excess[w] <= 0.5), key=lambda w: (-counts[w][1], w))
@@ -177,7 +181,7 @@ def fitted(texts: list[bytes], y: np.ndarray) -> Machine:
         if not positives:
             break
         rows = positives + negatives
-        x = np.vstack([explicit(rows[k : k + 500]) @ fold for k in range(0, len(rows), 500)])
+        x = np.vstack([explicit(rows[k : k + 250]) @ fold for k in range(0, len(rows), 250)])
         sign = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         weight = np.concatenate([[min(20.0, chosen[w]) for w in positives], common])
         w, b = _svm(x, sign, weight)
@@ -190,7 +194,7 @@ def fitted(texts: list[bytes], y: np.ndarray) -> Machine:
     return flat
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS // 4) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Machine:
     """From `most` labelled documents at most; their texts are what the driver holds."""
     rows = labelled(docs, labels, "toxic", most).limit(2 * most).toPandas()
     texts = [(t or "").encode() for t in rows["text"]]
