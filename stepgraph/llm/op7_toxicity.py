@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, lowered, pieces, read, words_of
-from .op5_quality import MOST_ROWS, held_out, labelled
+from .op5_quality import held_out, labelled
 
 #: a-z, five for the last bytes of other letters, one for a word's beginning, and one for all else, which is a gap only.
 LETTERS, BEGIN, GAP = 33, 31, 32
