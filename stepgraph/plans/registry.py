@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import layout, library, procedures
-from ..sources.adapters import RAW_SQL, raw_steps, table
+from ..operators import extraction, layout, library, procedures, viewer, vocabulary
+from ..sources.adapters import PAGE_STEPS_SQL, RAW_SQL, manual_pages, raw_steps, table
 
 RAW, RAW3 = RAW_SQL.format(number="l_linenumber"), RAW_SQL.format(number="3 * l_linenumber")
 _RUN = "marked AS (SELECT *, lag(number) OVER w AS a, lag(page) OVER w AS p FROM raw WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), runs AS (SELECT doc_id, pos, page, number, text, CAST(sum(CASE WHEN a IS NULL OR number IS NULL THEN 0 WHEN number <= a OR number - a > 8 OR page - p > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS run FROM marked)"
@@ -31,7 +31,52 @@ def _graph(spark, d):
     return procedures.branches(steps.select("proc_id", F.col("pos").alias("id")), edges)
 
 
+def _provenance(spark, d):
+    pages = manual_pages(spark, d)
+    quotes = extraction.steps_of(pages).select("doc_id", "page", F.col("ord").cast("long").alias("ord"), F.col("text").alias("quote"))
+    return extraction.located(quotes, pages).select("doc_id", "page", "ord", "verified", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+
+
+def _lexicon(spark, d):
+    seed = spark.createDataFrame([("bolt", "Bolt", ["large bolt"], ["frame"])], vocabulary.SEED)
+    return vocabulary.lexicon(manual_pages(spark, d), seed).select("doc_id", "part_id", "name", F.size("forms").cast("long").alias("n_forms"), "discovered")
+
+
+def _mentions(spark, d):
+    steps = raw_steps(spark, d)
+    cold, last = F.col("part").startswith("cold "), F.substring_index("part", " ", -1)
+    names = steps.select("doc_id", "part").distinct()
+    forms = names.where(cold).select("doc_id", F.col("part").alias("form"), F.col("part").alias("part_id")).union(names.select("doc_id", last, last).distinct())
+    return vocabulary.mentions(steps, forms).select("doc_id", "pos", F.array_join("parts", ",").alias("parts"))
+
+
+def _present(spark, d):
+    steps = raw_steps(spark, d).select(F.col("doc_id").alias("proc_id"), F.col("pos").alias("step"), "part")
+    return viewer.present(steps, steps)
+
+
+def _manifest(spark, d):
+    steps = raw_steps(spark, d)
+    rows = steps.select(F.col("doc_id").alias("proc_id"), fields.torque_nm(F.col("text")).alias("torque_nm"), F.contains("text", F.lit("WARNING")).alias("verified"))
+    parts = procedures.first_use(steps).select(F.col("doc_id").alias("proc_id"), F.when(F.col("first_pos") % 3 > 0, F.col("first_pos") % 3 == 1).alias("verified"))
+    return library.manifest(rows, parts)
+
+
+def _inside(spark, d):
+    seats = table(spark, d, "customer").select(F.col("c_nationkey").alias("scene"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 100).alias("y"), F.lit(0).alias("z"))
+    shells = table(spark, d, "supplier").select(F.col("s_nationkey").alias("scene"), F.col("s_suppkey").alias("shell"), F.col("s_acctbal").alias("x0"), (F.col("s_acctbal") + 300).alias("x1"), F.lit(10).alias("y0"), F.lit(60).alias("y1"), F.lit(0).alias("z0"), F.lit(0).alias("z1"))
+    return viewer.inside(seats, shells)
+
+
 QUERIES = {
+    "text_steps": lambda s, d: extraction.steps_of(manual_pages(s, d)).withColumn("ord", F.col("ord").cast("long")),
+    "provenance": _provenance,
+    "lexicon": _lexicon,
+    "mentions": _mentions,
+    "presence": _present,
+    "manifest": _manifest,
+    "containment": _inside,
+    "label_packing": lambda s, d: viewer.labels(table(s, d, "supplier").select(F.col("s_nationkey").alias("scene"), F.col("s_suppkey").alias("id"), F.floor("s_acctbal").cast("double").alias("y")), 800.0),
     "segment_runs": lambda s, d: procedures.runs(raw_steps(s, d)).select("doc_id", "pos", "run"),
     "segment_runs_gap": lambda s, d: procedures.runs(raw_steps(s, d, "3 * l_linenumber")).select("doc_id", "pos", "run"),
     "procedures": lambda s, d: procedures.procedures(raw_steps(s, d)),
@@ -58,6 +103,14 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "text_steps": f"WITH {PAGE_STEPS_SQL} SELECT doc_id, page, ord, number, action || washer AS text, action FROM lines",
+    "provenance": f"WITH {PAGE_STEPS_SQL}, whole AS (SELECT page, string_agg(number || '. ' || action || washer || CASE WHEN number = 3 THEN ' Torque reference' ELSE '' END, ' ' ORDER BY ord) AS said FROM lines GROUP BY page) SELECT doc_id, page, ord, true AS verified, instr(said, action || washer) - 1 AS char_start, instr(said, action || washer) - 1 + length(action || washer) AS char_end FROM lines JOIN whole USING (page)",
+    "lexicon": f"WITH {PAGE_STEPS_SQL}, names AS (SELECT DISTINCT doc_id, regexp_replace(part, '^(new|old) ', '') AS name FROM lines), own AS (SELECT a.doc_id, coalesce(min(b.name), a.name) AS name FROM names a LEFT JOIN names b ON a.doc_id = b.doc_id AND ends_with(b.name, ' ' || a.name) GROUP BY a.doc_id, a.name) SELECT doc_id, CASE WHEN name = 'large bolt' THEN 'bolt' ELSE replace(name, ' ', '_') END AS part_id, CASE WHEN name = 'large bolt' THEN 'Bolt' ELSE upper(name[1]) || name[2:] END AS name, count(*) AS n_forms, name <> 'large bolt' AS discovered FROM own GROUP BY doc_id, own.name",
+    "mentions": f"WITH {RAW} SELECT doc_id, pos, CASE WHEN part LIKE 'cold %' THEN part ELSE split_part(part, ' ', -1) END AS parts FROM raw",
+    "presence": f"WITH {RAW}, f AS (SELECT doc_id, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY doc_id, part) THEN 1 ELSE 0 END AS k FROM raw) SELECT doc_id AS proc_id, pos AS step, CAST(sum(k) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS n_present FROM f",
+    "manifest": f"WITH {RAW}, r AS (SELECT doc_id, 1 AS s, 0 AS p, {_T} AS t, contains(text, 'WARNING') AS v FROM raw UNION ALL SELECT doc_id, 0, 1, NULL, CASE WHEN min(pos) % 3 > 0 THEN min(pos) % 3 = 1 END FROM raw GROUP BY doc_id, part) SELECT doc_id AS proc_id, CAST(sum(p) AS BIGINT) AS parts, CAST(sum(s) AS BIGINT) AS steps, count(t) AS torque_specs, count(*) FILTER (WHERE v) AS verified_spans, count(v) AS total_spans FROM r GROUP BY doc_id",
+    "containment": "SELECT DISTINCT s_nationkey AS scene, s_suppkey AS shell FROM supplier JOIN customer ON s_nationkey = c_nationkey AND c_acctbal BETWEEN s_acctbal AND s_acctbal + 300 AND c_custkey % 100 BETWEEN 10 AND 60",
+    "label_packing": "WITH r AS (SELECT s_nationkey AS scene, s_suppkey AS id, floor(s_acctbal) AS y, row_number() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal), s_suppkey) - 1 AS n FROM supplier) SELECT scene, id, 26 * n + greatest(96.0::DOUBLE, max(least(y, 704.0::DOUBLE) - 26 * n) OVER (PARTITION BY scene ORDER BY n)) AS y FROM r",
     "segment_runs": f"WITH {RAW}, {_RUN} SELECT doc_id, pos, run FROM runs",
     "segment_runs_gap": f"WITH {RAW3}, {_RUN} SELECT doc_id, pos, run FROM runs",
     "procedures": f"WITH {RAW}, {_RUN} SELECT doc_id, run, count(*) AS n_steps, count({_T}) AS n_torque, min(page) AS first_page FROM runs GROUP BY doc_id, run HAVING count(*) >= 4 OR (count(*) >= 2 AND count({_T}) > 0)",
