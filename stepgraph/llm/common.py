@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
-PIECE_BYTES = 4 << 20  # numpy work on texts is done in pieces of about this size
+PIECE_BYTES = 1 << 20  # numpy work on texts is done in pieces of about this size; a hash takes some 60 bytes a byte
 
 
 def shared_dir(spark: SparkSession) -> str:
