@@ -6,10 +6,10 @@ in a million at exactly that likeness. The signature is split into CHUNKS chunks
 within ERRORS differ in at most one symbol of some chunk: each node enumerates, for each chunk, the chunk with each one
 symbol left out, and nodes that meet at such a key are candidates. That finds all pairs within the distance.
 
-Candidates are confirmed on full sets. No bucket emits all its pairs: first each member is held against the bucket's
-smallest node, and buckets whose members are linked by then are done. The members of buckets that still hold more than
-one component are paired across components only, and only where they share one of their rarest shingles: an exact
-filter that passages which many documents share don't get through.
+Candidates are confirmed on full sets. No bucket emits all its pairs: first each member is held against PIVOTS of the
+bucket's nodes, and buckets whose members are linked by then are done. The members of buckets that still hold more than
+one component, pivots aside, are paired across components only, and only where they share one of their rarest shingles
+early enough: an exact filter that passages which many documents share don't get through.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ SYMBOLS, ERRORS, CHUNKS = 96, 37, 19  # ERRORS // CHUNKS is 1: one error in some
 _EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
 _SEED = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEED[:SYMBOLS], _SEED[SYMBOLS:] | U(1)
+PIVOTS = 3  # nodes of a bucket that all its members are held against
 SLICE = 1 << 15  # hashes that are minhashed at once
 
 
@@ -153,7 +154,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
     held = stored(profiles(docs, k), "profiles")
     nodes = stored(held.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "nodes")
     keys = keyed(nodes)
-    buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
+    pivots = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(n))) for n in range(PIVOTS)]))
+    buckets = keys.groupBy("key").agg(pivots.alias("pivots"), F.count("*").alias("members")).where("members > 1").select("key", "pivots")
     many = stored(keys.join(buckets, "key"), "buckets")
     sizes = nodes.select("node", "n")
     sets = stored(full_sets(docs, nodes.join(many.select("node").distinct(), "node", "left_semi").select("row_id", "node"), k), "sets")
@@ -163,12 +165,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
         sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("node").alias("b"), "n"), "b")
         return sized.where(100 * F.least("m", "n") >= similar * F.greatest("m", "n")).select("a", "b")
 
-    tried = stored(close(many.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "pairs")
+    held_up = many.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
+    tried = stored(close(held_up.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()), "pairs")
     links = stored(confirmed(tried, sets, similar), "links")
     found = stored(components(links), "components")
 
-    # across components: only nodes of buckets that still hold more than one
-    placed = many.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # across components: only nodes of buckets that still hold more than one; a pivot's pairs have all been tried
+    placed = many.where(~F.array_contains("pivots", F.col("node"))).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     placed = placed.join(open_, "key", "left_semi").select("node", "component").distinct().join(sizes, "node")
     across = close(rare_partners(stored(placed, "open"), sets, similar)).join(tried, ["a", "b"], "left_anti")
@@ -187,7 +190,8 @@ def rare_partners(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame
 
     In any one order of all shingles, two alike sets share one of their first n - ceil(n * similar / 100) + 1. The order
     is from rare to frequent, so what many documents share (a passage, a licence) comes last and proposes no pairs.
-    Rows of a shingle's largest component are never joined with each other.
+    Nothing before the first shingle that two sets share is shared, so from its ranks on both must still hold as many
+    shingles as alike sets have in common. Rows of a shingle's largest component are never joined with each other.
     """
     shingles = placed.join(sets, "node").select("node", F.explode("held").alias("shingle"))
     often = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -196,11 +200,11 @@ def rare_partners(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame
     single = F.col("n") - F.count("*").over(of_node)  # shingles that no other node has come first
     rank = single + F.row_number().over(of_node.orderBy("df", "shingle"))
     first = known.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)
-    first = stored(first.select("shingle", "node", "component", "n"), "rare")
+    first = stored(first.select("shingle", "node", "component", "n", (F.col("n") - F.col("rank") + 1).alias("rest")), "rare")
     largest = first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    left = first.join(largest, "shingle").where("component <> largest").select("shingle", F.col("node").alias("a"), F.col("component").alias("p"), F.col("n").alias("m"))
-    right = first.select("shingle", F.col("node").alias("b"), F.col("component").alias("q"), "n")
-    pairs = left.join(right, "shingle").where(f"p <> q AND 100 * least(m, n) >= {similar} * greatest(m, n)")
+    left = first.join(largest, "shingle").where("component <> largest").select("shingle", F.col("node").alias("a"), F.col("component").alias("p"), F.col("n").alias("m"), F.col("rest").alias("x"))
+    right = first.select("shingle", F.col("node").alias("b"), F.col("component").alias("q"), "n", F.col("rest").alias("y"))
+    pairs = left.join(right, "shingle").where(f"p <> q AND 100 * least(m, n) >= {similar} * greatest(m, n) AND {100 + similar} * least(x, y) >= {similar} * (m + n)")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
