@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
     placed = many.where(~F.array_contains("pivots", F.col("node"))).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     placed = placed.join(open_, "key", "left_semi").select("node", "component").distinct().join(sizes, "node")
-    across = close(rare_partners(stored(placed, "open"), sets, similar)).join(tried, ["a", "b"], "left_anti")
+    across = rare_partners(stored(placed, "open"), sets, similar).join(tried, ["a", "b"], "left_anti")
     more = confirmed(across, sets, similar)
     links = stored(links.unionByName(more), "links")
     found = components(links)
