@@ -80,6 +80,37 @@ RULES = (
     ("All-Rights-Reserved", ("Reserved",)),
 )
 
+# Full sentences of licence texts as they stand in files, beside those above; a scan of whole licences knows both.
+_GNU = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation"
+WHOLE_SENTENCES = SENTENCES | {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "ApacheHead",
+    "the asf licenses this file to you under the apache license version 2 0 the license you may not use this file except in compliance with the license": "ApacheHead",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "ApacheCopy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "AsIs",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "AsIs",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    f"{_GNU.format('program', '')} either version 3 of the license or at your option any later version": "Gpl3Grant",
+    f"{_GNU.format('program', '')} either version 2 of the license or at your option any later version": "Gpl2Grant",
+    f"{_GNU.format('program', '')} version 2 of the license": "Gpl2Ref",
+    f"{_GNU.format('program', '')} version 3 of the license": "Gpl3Ref",
+    f"{_GNU.format('library', 'lesser ')} either version 2 1 of the license or at your option any later version": "Lgpl21Grant",
+    f"{_GNU.format('library', 'lesser ')} either version 3 of the license or at your option any later version": "Lgpl3Grant",
+}
+
+WHOLE_RULES = (
+    ("Apache-2.0", ("ApacheHead", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
+    ("Apache-2.0", ("ApacheHead",)),
+    ("GPL-3.0-or-later", ("Gpl3Grant",)),
+    ("GPL-2.0-or-later", ("Gpl2Grant",)),
+    ("LGPL-2.1-or-later", ("Lgpl21Grant",)),
+    ("LGPL-3.0-or-later", ("Lgpl3Grant",)),
+    *RULES,
+)
+
 #: A sentence ends at a line break, or at . ! ? ; or : before white space or the end of the text.
 BREAK = r"[\r\n]+|[.!?;:]+(?:[ \t\r\n]+|$)"
 
@@ -90,17 +121,42 @@ def normalised(text: Column) -> Column:
     return F.filter(plain, lambda s: F.length(s) > 0)
 
 
-def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
+def known_in_whole(text: Column, sentences: dict[str, str]) -> Column:
+    """Known sentences of a text in their order, wherever its lines are broken.
+
+    A known sentence begins and ends at a break (BREAK or a blank line) and may go on over breaks that are not blank
+    lines, so it is found wrapped, behind comment marks, and with ; : or 'v.' inside. Of several the longest counts.
+    """
+    if not sentences:
+        return F.array().cast("array<string>")
+    # lower-case text has no capitals: P stands for blank lines, L for other breaks
+    plain = F.regexp_replace(F.lower(text), r"(?>\r\n|\r|\n)(?:[^a-z0-9\r\n]*(?>\r\n|\r|\n))+", " P ")
+    plain = F.regexp_replace(plain, BREAK, " L ")
+    plain = F.trim(F.regexp_replace(plain, "[^a-z0-9PL]+", " "))
+    plain = F.regexp_replace(F.regexp_replace(plain, "[L ]*P[PL ]*", "P"), " *L[L ]*", "L")
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    some = "|".join(s.replace(" ", "[ L]") for s in longest)
+    found = F.regexp_extract_all(plain, F.lit(f"(?<![a-z0-9 ])(?:[0-9a-z] )?({some})(?![a-z0-9 ])"), 1)
+    return F.coalesce(F.transform(found, lambda s: F.replace(s, F.lit("L"), F.lit(" "))), F.array().cast("array<string>"))
+
+
+def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=None, whole: bool = False) -> DataFrame:
     """docs with what the rules recognise.
 
     Adds n_sentences, sentence_ids (identifiers of the known sentences in order), n_unmatched (identifiers that no
     rule takes) and licenses (names in the rules' order, each once). A null or empty text has no sentences and no
     licences; repeated rows give repeated results; other columns stay as they are, and columns of docs with one of
     the four names are replaced. Identifiers follow each other when no other known sentence stands between them.
+
+    whole: known sentences may go on over line breaks and over ; and : (known_in_whole), and full licence texts are
+    known; n_sentences stays the number of pieces between breaks. The query's SQL fixes the other form.
     """
-    sentences = SENTENCES if sentences is None else sentences
+    if sentences is None:
+        sentences = WHOLE_SENTENCES if whole else SENTENCES
+    if rules is None:
+        rules = WHOLE_RULES if whole else RULES
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    known = F.filter(F.col("_sentences"), lambda s: s.isin(*sentences))
+    known = known_in_whole(F.col(text), sentences) if whole else F.filter(F.col("_sentences"), lambda s: s.isin(*sentences))
     out = docs.withColumn("_sentences", F.coalesce(normalised(F.col(text)), F.array().cast("array<string>")))
     out = out.withColumn("n_sentences", F.size("_sentences").cast("long"))
     out = out.withColumn("sentence_ids", F.transform(known, lambda s: F.element_at(table, s)))
