@@ -2,13 +2,15 @@
 
 Equal vectors are one node. The neighbour graph starts from blocks of nodes that share a near pivot, then iterations
 join each node's neighbours, forward and backward, with each other: a node's group is its bounded sample of
-neighbours with their vectors, and what is nearer than a member's farthest neighbour joins that member's list. A query
+neighbours with their vectors, and what is nearer than a member's farthest neighbour joins that member's list. They go
+on until less than DELTA of the edges are new; edges only get nearer, so that comes. A query
 starts at its own node; each round joins the nodes that it has not opened yet with their neighbours, until its list
 holds nothing unopened. Inner products are compared in a space with one more coordinate that makes all lengths
 equal, so a long vector is no neighbour of all; scores are exact inner products of the vectors as they are.
 
 Every table is rows of (node, neighbour); groups have a bounded size (NEIGHBOURS, SAMPLE, BLOCK). The pivots are a
-bounded sample (PIVOTS at most) of the vectors; every vector is indexed.
+sample that grows with the vectors, so cells keep their size; above FLAT pivots a node looks for its own beneath its
+nearest TOPS of a sample of them. Every vector is indexed.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from .common import read, stored
 TOP = 20
 NEIGHBOURS = 24  # of a node in the graph
 SAMPLE = 24  # neighbours of each direction that an iteration joins
-ITERATIONS = 4
-PIVOTS, NEAR_PIVOTS, BLOCK = 1024, 6, 2048
-BEAM, OPENED, HOPS = 256, 64, 5  # of a search: nodes kept, nodes opened a round, rounds
+DELTA = 0.005  # iterations end when a smaller share of the graph's edges is new
+NEAR_PIVOTS, BLOCK = 6, 2048
+FLAT, TOPS = 1024, 8
+BEAM, OPENED = 256, 64  # of a search: nodes kept, nodes opened a round
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -50,17 +53,57 @@ def top_rows(rows: DataFrame, by: str, most: int) -> DataFrame:
     return rows.groupBy(by, "to").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
 
 
+def pivots_of(count: int) -> int:
+    """One for half a block of nodes."""
+    return max(1, count // (BLOCK // 2))
+
+
+class Cells:
+    """The NEAR_PIVOTS nearest pivots of nodes (all, if there are fewer)."""
+
+    def __init__(self, pivots: np.ndarray, flat: int = FLAT):
+        self.pivots, self.near, self.tops = pivots, min(NEAR_PIVOTS, len(pivots)), None
+        if len(pivots) > flat:
+            head = np.arange(0, len(pivots), int(np.sqrt(len(pivots))))
+            self.tops = pivots[head]
+            owner = np.concatenate([np.argmax(pivots[k : k + 4096] @ self.tops.T, axis=1) for k in range(0, len(pivots), 4096)])
+            self.under = [np.union1d(np.flatnonzero(owner == t), head[t : t + 1]) for t in range(len(head))]
+
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of rows of x."""
+        if self.tops is None:
+            best = np.argpartition(-(x @ self.pivots.T), self.near - 1, axis=1)[:, : self.near]
+            return np.repeat(np.arange(len(x)), self.near), best.ravel()
+        few = min(TOPS, len(self.tops))
+        open_ = np.argpartition(-(x @ self.tops.T), few - 1, axis=1)[:, :few]
+        row, cell, score = [], [], []
+        for t in np.unique(open_):
+            rows = np.flatnonzero((open_ == t).any(axis=1))
+            s = x[rows] @ self.pivots[self.under[t]].T
+            k = min(self.near, s.shape[1])
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            row.append(np.repeat(rows, k))
+            cell.append(self.under[t][best].ravel())
+            score.append(np.take_along_axis(s, best, 1).ravel())
+        row, cell, score = np.concatenate(row), np.concatenate(cell), np.concatenate(score)
+        once = np.unique(np.stack([row, cell]), axis=1, return_index=True)[1]
+        row, cell, score = row[once], cell[once], score[once]
+        order = np.lexsort([cell, -score, row])
+        row, cell = row[order], cell[order]
+        fine = np.arange(len(row)) - np.searchsorted(row, row) < self.near
+        return row[fine], cell[fine]
+
+
 def first_graph(nodes: DataFrame, pivots: np.ndarray, count: int) -> DataFrame:
     """node, to, score within blocks of nodes that share one of their nearest pivots."""
-    near = min(NEAR_PIVOTS, len(pivots))
+    of_pivots = Cells(pivots) if len(pivots) else None
 
     def assign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = _matrix(batch.column(1))
             if len(x):
-                best = np.argpartition(-(x @ pivots.T), near - 1, axis=1)[:, :near]
-                pick = np.repeat(np.arange(len(x)), near)
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int64)), batch.column(0).take(pa.array(pick)), batch.column(1).take(pa.array(pick))], ["cell", "node", "a"])
+                pick, cell = of_pivots.of(x)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column(0).take(pa.array(pick)), batch.column(1).take(pa.array(pick))], ["cell", "node", "a"])
 
     cells = nodes.select("node", "a").mapInArrow(assign, "cell long, node long, a array<float>")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
@@ -80,7 +123,7 @@ def first_graph(nodes: DataFrame, pivots: np.ndarray, count: int) -> DataFrame:
 
 
 def improved(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """One iteration: neighbours of neighbours, met at the node between them."""
+    """One iteration: neighbours of neighbours, met at the node between them. new: whether graph lacks the edge."""
     farthest = graph.groupBy("node").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("score")).otherwise(F.lit(-3.0)).cast("float").alias("farthest"))
     ahead = graph.select(F.col("node").alias("mid"), F.col("to").alias("node"))
     back = graph.select(F.col("to").alias("mid"), "node")
@@ -98,14 +141,20 @@ def improved(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
         return pd.DataFrame({"node": ids[i], "to": ids[j], "score": s[i, j]})
 
     found = groups.groupBy("mid").applyInPandas(meet, "node long, to long, score float")
-    return top_rows(graph.select("node", "to", "score").unionByName(found), "node", NEIGHBOURS)
+    both = graph.select("node", "to", "score", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True)))
+    order = W.partitionBy("node").orderBy(F.col("score").desc(), "to")
+    best = both.groupBy("node", "to").agg(F.max("score").alias("score"), F.min("new").alias("new"))
+    return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEIGHBOURS).drop("r")
 
 
-def neighbour_graph(nodes: DataFrame, pivots: np.ndarray, count: int, iterations: int = ITERATIONS) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, pivots: np.ndarray, count: int, delta: float = DELTA) -> DataFrame:
     """node, to, score of stored nodes (node, a: unit vector in floats, half: the same in half precision, as bytes)."""
     graph = stored(first_graph(nodes, pivots, count), "graph")
-    for turn in range(iterations if count > BLOCK else 0):
+    turn, share = 0, float(count > BLOCK)  # one block is exact as it is
+    while share > delta:
         graph = stored(improved(graph, nodes, turn), "graph")
+        share = graph.agg(F.avg(F.col("new").cast("int")).alias("share")).first()["share"] or 0.0
+        turn += 1
     return graph
 
 
@@ -131,7 +180,7 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFram
 
     beam = stored(scored(queries.select("query", F.col("node").alias("to"))).withColumn("opened", F.lit(False)), "beam")
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "to")
-    for _ in range(HOPS):
+    while True:  # what leaves a beam never comes back, so no node opens twice and the rounds end
         turn = beam.where("NOT opened").withColumn("r", F.row_number().over(order)).where(F.col("r") <= OPENED).select("query", F.col("to").alias("at"))
         turn = stored(turn, "turn")
         if turn.isEmpty():
@@ -174,7 +223,7 @@ def nearest(table: DataFrame, is_query, top: int = TOP) -> DataFrame:
 
     nodes = stored(one.mapInArrow(unit, "node long, v array<double>, a array<float>, half binary"), "nodes")
     count = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("node")).select("a").limit(min(PIVOTS, max(1, count // (BLOCK // 2)))).collect()
+    sample = nodes.orderBy(F.xxhash64("node")).select("a").limit(pivots_of(count)).collect()
     pivots = np.array([r["a"] for r in sample], np.float32)
     graph = neighbour_graph(nodes, pivots, count)
     queries = stored(rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query"), "node", "v").dropDuplicates(["query", "node"]), "queries")

@@ -211,3 +211,34 @@ def test_whole_licences(spark, text, want):
     docs = spark.createDataFrame([(f"some words before\n\n{text}\nint main;",), (text.replace("\n", "\r\n"),), (None,), (text.replace("the", "a").replace("THE", "A"),)], "text string")
     got = [(r.licenses, r.n_unmatched) for r in op1_license.scan(docs, whole=True).collect()]
     assert got[:3] == [([want], 0), ([want], 0), ([], 0)] and (want not in got[3][0])
+
+
+def test_search_goes_on_until_nothing_is_unopened(spark):
+    far = 12  # a chain: each node knows the next one only, which is nearer to the query
+    nodes = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(far)], "node long, v array<double>")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(far - 1)], "node long, to long, score double")
+    query = spark.createDataFrame([(0, 0, [1.0, 1.0])], "query long, node long, v array<double>")
+    assert {r.to for r in op10_neighbours.searched(query, graph, nodes).collect()} == set(range(far))
+
+
+def test_graph_goes_on_until_few_edges_change(spark, monkeypatch):
+    turns = []
+
+    def improved(graph, nodes, turn):
+        turns.append(turn)
+        return graph.withColumn("new", F.lit(turn < 6))
+
+    graph = spark.createDataFrame([(1, 2, 0.5)], "node long, to long, score float")
+    monkeypatch.setattr(op10_neighbours, "first_graph", lambda *_: graph)
+    monkeypatch.setattr(op10_neighbours, "improved", improved)
+    op10_neighbours.neighbour_graph(None, np.zeros((1, 2)), op10_neighbours.BLOCK + 1)
+    assert turns == list(range(7))
+
+
+def test_pivots_grow():
+    assert op10_neighbours.pivots_of(3_000_000) > 2900
+    x = np.random.default_rng(3).normal(size=(3000, 8)).astype(np.float32)
+    row, cell = op10_neighbours.Cells(x[:1500]).of(x)
+    flat = op10_neighbours.Cells(x[:1500], flat=1500).of(x)
+    assert (np.bincount(row) == op10_neighbours.NEAR_PIVOTS).all() and len(set(zip(row, cell))) == len(row)
+    assert len(set(zip(row, cell)) & set(zip(*flat))) > 0.7 * len(row)
