@@ -7,12 +7,16 @@ Nystroem features are its kernels with them times the inverse root of theirs, an
 these. As kernel, features and machine are all linear in a word's triples, a trained machine folds into one weight
 for each triple, which is looked up at every position of every whole text.
 
+A run of marks within a word is one gap, however long. Neighbouring pieces of one or two letters, parted by spaces or
+marks, are also looked at as one word, so letters that stand apart are read together.
+
 Labels are those of whole documents: a sentence of a toxic document need not be toxic. So training takes turns: the
 words that weigh most in each toxic document are its positive examples, words of other documents are negative ones.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, lowered, pieces, read, words_of
+from .common import _SPACE, Rolling, lowered, pieces, read, words_of
 from .op5_quality import held_out, labelled
 
 #: a-z, five for the last bytes of other letters, one for a word's beginning, and one for all else, which is a gap only.
@@ -35,6 +39,9 @@ TOXIC = 0.3
 _LETTER = np.full(256, GAP, np.int32)
 _LETTER[97:123] = np.arange(26)
 _LETTER[128:192] = 26 + np.arange(64) % 5
+_MARK = re.compile(rb"\xc2[\x80-\xbf]|[\xe2\xe3]\x80[\x80-\xbf]")  # Latin-1, general and CJK punctuation
+_MARKS = re.compile(rb"([^a-z\x80-\xbf\x20\x09-\x0d])[^a-z\x80-\xbf\x20\x09-\x0d]+")
+JOINED = (8, 16)  # letters of the parts, overlapping by half, that longer runs of short words are looked at in
 _STEPS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]  # places of a triple's second and third letter
 
 
@@ -56,6 +63,62 @@ def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tu
             yield word[ok], ((a[real] * LETTERS + b[real]) * LETTERS + c[real]), DECAY ** (j + 1)
 
 
+def compact(text: bytes) -> bytes:
+    """Lower-case bytes with each run of marks as one byte."""
+    return _MARKS.sub(rb"\1", _MARK.sub(b"-", text))
+
+
+def compacted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """compact() of each text of lower-case bytes."""
+    data = data.copy()
+    after, second = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    after[:-1], second[:-2] = data[1:], data[2:]
+    two = np.flatnonzero((data == 0xC2) & (after >= 128) & (after < 192))
+    three = np.flatnonzero(((data == 0xE2) | (data == 0xE3)) & (after == 0x80) & (second >= 128) & (second < 192))
+    for at in (two, two + 1, three, three + 1, three + 2):
+        data[at] = 45
+    mark = (_LETTER[data] == GAP) & ~_SPACE[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(mark[1:] & mark[:-1])
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
+def joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, row) of runs of pieces of one or two letters, their letters as one word; long runs in parts.
+
+    Pieces are parted by spaces and marks alike; a letter's first byte is no mark.
+    """
+    letter = _LETTER[data] < BEGIN
+    ink = letter | (data >= 192)
+    # words_of() on texts with a space for every mark
+    start, end, row = words_of(np.where(ink, data, np.uint8(32)), offsets)
+    until = np.concatenate([[0], np.cumsum(letter)])
+    size = until[end] - until[start]
+    short = size <= 2
+    new = np.ones(len(start), bool)
+    new[1:] = (row[1:] != row[:-1]) | ~short[1:] | ~short[:-1]
+    run = np.cumsum(new) - 1
+    at = np.flatnonzero(letter)
+    word = np.searchsorted(start, at, "right") - 1
+    at, word = at[short[word]], word[short[word]]
+    ids, first, length = np.unique(run[word], return_index=True, return_counts=True)
+    n_words = np.bincount(run, short & (size > 0))[ids] if len(ids) else np.zeros(0)
+    fine = (length >= 3) & (n_words >= 2)
+    first, length, of = first[fine], length[fine], row[np.flatnonzero(new)][ids[fine]]
+    whole = length <= JOINED[-1]
+    starts, sizes, rows = [first[whole]], [length[whole]], [of[whole]]
+    for part in JOINED:
+        long = length > part
+        k = -(-(length[long] - part) // (part // 2)) + 1
+        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        starts.append(np.repeat(first[long], k) + np.minimum(step * (part // 2), np.repeat(length[long] - part, k)))
+        sizes.append(np.full(k.sum(), part))
+        rows.append(np.repeat(of[long], k))
+    begin = np.concatenate(starts)
+    return data[at], begin, begin + np.concatenate(sizes), np.concatenate(rows)
+
+
 def explicit(words: list[bytes]) -> np.ndarray:
     """The words' scaled vectors over all triples; a word that has none is a zero vector.
 
@@ -97,12 +160,16 @@ class Machine:
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Of each text: its largest value (-1 without words), logs of the words above each level and of all words."""
         rows = len(offsets) - 1
+        data, offsets = compacted(lowered(data), offsets)
         start, end, row = words_of(data, offsets)
-        value = np.clip(self.words(lowered(data), start, end), -3, 3)
+        n_words = np.log1p(np.bincount(row, minlength=rows))
+        apart = joined(data, offsets)
+        value = np.clip(np.concatenate([self.words(data, start, end), self.words(*apart[:3])]), -3, 3)
+        row = np.concatenate([row, apart[3]])
         most = np.full(rows, -1.0)
         np.maximum.at(most, row, value)
         counts = [np.log1p(np.bincount(row[value > at], minlength=rows)) for at in LEVELS]
-        return np.stack([most, *counts, np.log1p(np.bincount(row, minlength=rows))], 1)
+        return np.stack([most, *counts, n_words], 1)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.fit[0] + self.texts(data, offsets) @ self.fit[1:], -30, 30)))
@@ -145,14 +212,14 @@ def fitted(texts: list[bytes], y: np.ndarray) -> Machine:
     once = {t: v for t, v in zip(texts, y, strict=True)}
     n_docs, n_toxic = Counter(), Counter()
     for text, toxic in once.items():
-        bag = {w for w in text.lower().split() if 3 <= len(w) <= 40}
+        bag = {w for w in compact(text.lower()).split() if 3 <= len(w) <= 40}
         n_docs.update(bag)
         if toxic:
             n_toxic.update(bag)
     counts = {w: (n_toxic.get(w, 0), k) for w, k in n_docs.items() if k > 1 or w in n_toxic}
     del n_docs
     held = {w: w for w in counts}
-    bags = [({held[w] for w in text.lower().split() if w in held} if v else frozenset(), v) for text, v in once.items()]
+    bags = [({held[w] for w in compact(text.lower()).split() if w in held} if v else frozenset(), v) for text, v in once.items()]
     share = sum(v for _, v in bags) / len(bags)
     excess = {w: (c[0] - c[1] * share) / np.sqrt(c[1] * share + 1) for w, c in counts.items()}
     by_excess = sorted((w for w in excess if counts[w][0] >= 3), key=lambda w: (-excess[w], w))

@@ -242,3 +242,33 @@ def test_pivots_grow():
     flat = op10_neighbours.Cells(x[:1500], flat=1500).of(x)
     assert (np.bincount(row) == op10_neighbours.NEAR_PIVOTS).all() and len(set(zip(row, cell))) == len(row)
     assert len(set(zip(row, cell)) & set(zip(*flat))) > 0.7 * len(row)
+
+
+def _insults():
+    rng = np.random.default_rng(5)
+    syllables = [a + b for a in "bdfglmnprstv" for b in "aeiou"]
+    words = ["".join(rng.choice(syllables, 3)) for _ in range(300)] + ["a", "to", "it", "is", "of", "we", "no"]
+    texts = [" ".join(rng.choice(words, rng.integers(20, 120))) for _ in range(400)]
+    toxic = [t + f" {rng.choice(['idiotzwack', 'quorkhead', 'jerkyxump'])}" for t in texts[:100]]
+    clean = texts[100:]
+    return op7_toxicity.fitted([t.encode() for t in toxic + clean], np.array([1.0] * 100 + [0.0] * 300)), clean
+
+
+def test_gapped_insults():
+    machine, clean = _insults()
+    bad = "quorkhead"
+    forms = [bad, ".".join(bad), " ".join(bad), "--".join(bad), " . ".join(bad), " - ".join(bad), "...".join(bad), "—".join(bad), "qu or kh ea d", " ".join("you are " + bad).replace("   ", " ")]
+    rows = [f"{c} {f} end".encode() for c, f in zip(clean, forms)] + [c.encode() for c in clean]
+    score = machine.score(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+    assert [f for f, x in zip(forms, score) if x < op7_toxicity.TOXIC] == []
+    assert (score[len(forms) :] >= op7_toxicity.TOXIC).mean() < 0.15
+
+
+def test_compact():
+    texts = ["a--b", "--x", "", "--", "--y ..z", "é——b", "··", "c"]
+    raw = [t.encode() for t in texts]
+    data, offsets = op7_toxicity.compacted(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [bytes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])] == [op7_toxicity.compact(t) for t in raw]
+    texts = [b"see i d - i o t now", b"i.d", b"i--o--t", b"one it two", b"", "привет как дела".encode(), b"a b c d e f g h i j k"]
+    data, start, end, row = op7_toxicity.joined(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert sorted((int(r), bytes(data[a:b])) for a, b, r in zip(start, end, row)) == [(0, b"idiot"), (2, b"iot"), (6, b"abcdefgh"), (6, b"abcdefghijk"), (6, b"defghijk")]
