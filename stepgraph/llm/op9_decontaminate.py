@@ -1,6 +1,7 @@
 """Benchmark decontamination with spaced seeds.
 
-Windows of eight words are hashed under fixed masks that ignore some of the positions, on both sides; equal hashes
+Windows of eight words are hashed under fixed masks that ignore some of the positions, on both sides (items of fewer
+words under masks of their own length); equal hashes
 join documents with benchmark items, and each hit is verified by comparing all words around it at that alignment,
 so substituted words are tolerated. Positions are exploded and hashed inside whole-stage code and probed against
 the benchmark's seeds; these are broadcast if their measured size is within MOST_BROADCAST, else the join shuffles.
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import read
 
 # Masks over SPAN words; 1 counts, 0 is ignored.
-MASKS = ("11011010", "10110011", "11100101", "10011110")
+SQL_MASKS = ("11011010", "10110011", "11100101", "10011110")  # the SQL's; they lose some items of 8, 10 and 11 words
+MASKS = (*SQL_MASKS, "00101111")  # for 8 to 13 words, any substitutions that SHARE allows leave one of these whole
 SPAN = 8
+SPACELESS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 WINDOW = 13  # words of an overlap
 SHARE = 0.8  # of a window's words that must be equal
 MOST_BROADCAST = 32 << 20  # bytes of benchmark seeds
@@ -27,21 +30,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def hashes(text: Column, by_letter: bool = False) -> Column:
+    """Of each word; by_letter: letters of scripts without spaces are words of their own."""
+    return F.transform(words(F.regexp_replace(text, SPACELESS, " $1 ") if by_letter else text), lambda w: F.xxhash64(w))
 
 
-def seeds_at(h: Column, i: Column) -> Column:
-    """The masks' hashes of the window that starts at i (from 0)."""
-    each = [F.xxhash64(F.lit(n), *[F.get(h, i + k) for k, c in enumerate(m) if c == "1"]) for n, m in enumerate(MASKS)]
+def short_masks(n: int) -> tuple[str, ...]:
+    """For items of n < SPAN words: one for each word that SHARE lets differ, else one that counts all."""
+    return tuple("1" * k + "0" + "1" * (n - 1 - k) for k in range(n)) if n - 1 >= n * SHARE - 1e-9 else ("1" * n,)
+
+
+def seeds_at(h: Column, i: Column, masks: tuple[str, ...]) -> Column:
+    """The masks' hashes of the window that starts at i (from 0). Words outside of the text add nothing to a hash."""
+    each = [F.xxhash64(F.lit(m), *[F.get(h, i + k) for k, c in enumerate(m) if c == "1"]) for m in masks]
     return F.array(*each)
 
 
-def windows(df: DataFrame) -> DataFrame:
-    """df with array h -> one row for each window's start i and mask's seed."""
-    starts = F.when(F.size("h") >= SPAN, F.sequence(F.lit(0), F.size("h") - SPAN))
+def windows(df: DataFrame, masks: tuple[str, ...], over: bool = False) -> DataFrame:
+    """df with array h -> one row for each window's start i and mask's seed. over: ignored words may lie outside."""
+    before = max(m.index("1") for m in masks) if over else 0
+    last = F.size("h") - F.lit(min(m.rindex("1") + 1 if over else len(m) for m in masks))
+    starts = F.when(last >= -before, F.sequence(F.lit(-before), last))
     at = df.withColumn("i", F.explode(starts))
-    return at.withColumn("seed", F.explode(seeds_at(F.col("h"), F.col("i"))))
+    return at.withColumn("seed", F.explode(seeds_at(F.col("h"), F.col("i"), masks)))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -50,15 +61,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
     A document and an item overlap if, at some alignment that a seed proposes, WINDOW neighbouring words of the item
     (all, if it has fewer) have SHARE or more equal words in the document. n_equal is the most equal words of one
     alignment over the whole item, start the first word of such an alignment (from 0; negative if the item's start
-    is cut off). Texts with fewer than SPAN words, null and empty ones overlap with nothing; rows with the same key
-    are pooled; repeated items count once for each item_id. Rows with a null key or item_id come with null.
+    is cut off). For items with letters of a script without spaces, each such letter is a word, on both sides. Null
+    and empty texts overlap with nothing; rows with the same key are pooled; repeated items count once for each
+    item_id. Rows with a null key or item_id come with null.
     """
-    items = benchmark.select("item_id", hashes(F.col("text")).alias("h"))
-    seeds = windows(items).select("seed", "item_id", F.col("i").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
+    by_letter = F.col("text").rlike(SPACELESS)
+    out = found_in(docs, benchmark.where(~by_letter), key, False)
+    letters = benchmark.where(by_letter)
+    if letters.isEmpty():
+        return out
+    both = out.unionByName(found_in(docs, letters, key, True))
+    top = F.min(F.struct((-F.col("n_equal")).alias("less"), "start"))
+    return both.groupBy(key, "item_id").agg(top.alias("top")).select(key, "item_id", (-F.col("top.less")).alias("n_equal"), F.col("top.start").alias("start"))
+
+
+def found_in(docs: DataFrame, benchmark: DataFrame, key: str, by_letter: bool) -> DataFrame:
+    """overlaps() with one way to take words."""
+    items = benchmark.select("item_id", hashes(F.col("text"), by_letter).alias("h"))
+    lengths = sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(f"n > 0 AND n < {SPAN}").distinct().collect())
+    windowed = windows(items, MASKS)
+    for n in lengths:
+        windowed = windowed.unionByName(windows(items.where(F.size("h") == n), short_masks(n)))
+    masks = MASKS + tuple(m for n in lengths for m in short_masks(n))
+    seeds = windowed.select("seed", "item_id", F.col("i").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
     bytes_ = seeds.agg(F.sum(F.size("item") * 8 + 64).alias("n")).first()["n"] or 0
     if bytes_ <= MOST_BROADCAST:
         seeds = F.broadcast(seeds)
-    spots = windows(docs.select(F.col(key).alias("key"), hashes(F.col("text")).alias("h")))
+    spots = windows(docs.select(F.col(key).alias("key"), hashes(F.col("text"), by_letter).alias("h")), masks, over=True)
     hits = spots.join(seeds, "seed").select("key", "item_id", (F.col("i") - F.col("q")).alias("start"), "h", "item")
     # the document's words at this alignment; get() is null outside of the text
     aligned = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.coalesce((F.col("start") + j >= 0) & (F.get("h", F.greatest(F.col("start") + j, F.lit(0))) == F.get("item", j)), F.lit(False)))
@@ -77,7 +106,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _seed_sql(array: str) -> str:
-    return ", ".join("concat_ws(' ', '" + str(n) + "', " + ", ".join(f"{array}[i + {k + 1}]" for k, c in enumerate(m) if c == "1") + ")" for n, m in enumerate(MASKS))
+    return ", ".join("concat_ws(' ', '" + str(n) + "', " + ", ".join(f"{array}[i + {k + 1}]" for k, c in enumerate(m) if c == "1") + ")" for n, m in enumerate(SQL_MASKS))
 
 
 ORACLE_SQL = f"""

@@ -272,3 +272,16 @@ def test_compact():
     texts = [b"see i d - i o t now", b"i.d", b"i--o--t", b"one it two", b"", "привет как дела".encode(), b"a b c d e f g h i j k"]
     data, start, end, row = op7_toxicity.joined(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     assert sorted((int(r), bytes(data[a:b])) for a, b, r in zip(start, end, row)) == [(0, b"idiot"), (2, b"iot"), (6, b"abcdefgh"), (6, b"abcdefghijk"), (6, b"defghijk")]
+
+
+def test_decontaminate_short_items(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split()
+    cases = []  # (item, document, whether they overlap)
+    for n, changed in [(8, [0]), (8, [7]), (10, [2, 4]), (10, [3, 5]), (11, [3, 5]), (7, [3]), (6, [0]), (5, [4]), (4, []), (2, []), (1, [])]:
+        tag = [f"{w}{len(cases)}" for w in base[:n]]
+        cases.append((" ".join(tag), "so then " + " ".join("other" if k in changed else w for k, w in enumerate(tag)) + " end", True))
+    cases += [("cut0 cut1 cut2 cut3 cut4 cut5 cut6 cut7", "cut1 cut2 cut3 cut4 cut5 cut6 cut7", True), ("four1 four2 four3 four4", "four1 other four3 four4", False), ("six1 six2 six3 six4 six5 six6", "six1 x six3 y six5 six6", False), ("天地玄黄宇宙洪荒日月盈昃", "前言天地玄黄宇宙洪荒日月盈仄后记", True), ("春夏", "秋春夏冬", True)]
+    bench = spark.createDataFrame([(k, i) for k, (i, _, _) in enumerate(cases)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, d, "s") for k, (_, d, _) in enumerate(cases)], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in op9_decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(k, k) for k, c in enumerate(cases) if c[2]}
