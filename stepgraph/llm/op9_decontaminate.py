@@ -77,22 +77,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
 
 def found_in(docs: DataFrame, benchmark: DataFrame, key: str, by_letter: bool) -> DataFrame:
     """overlaps() with one way to take words."""
-    items = benchmark.select("item_id", hashes(F.col("text"), by_letter).alias("h"))
+    items = benchmark.select("item_id", hashes(F.col("text"), by_letter).alias("h")).withColumn("item_row", F.xxhash64("item_id", F.col("item_id").isNull(), "h"))
     lengths = sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(f"n > 0 AND n < {SPAN}").distinct().collect())
     windowed = windows(items, MASKS)
     for n in lengths:
         windowed = windowed.unionByName(windows(items.where(F.size("h") == n), short_masks(n)))
     masks = MASKS + tuple(m for n in lengths for m in short_masks(n))
-    seeds = windowed.select("seed", "item_id", F.col("i").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_id", "q"])
+    seeds = windowed.select("seed", "item_id", "item_row", F.col("i").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_row", "q"])
     bytes_ = seeds.agg(F.sum(F.size("item") * 8 + 64).alias("n")).first()["n"] or 0
     if bytes_ <= MOST_BROADCAST:
         seeds = F.broadcast(seeds)
-    spots = windows(docs.select(F.col(key).alias("key"), hashes(F.col("text"), by_letter).alias("h")), masks, over=True)
-    hits = spots.join(seeds, "seed").select("key", "item_id", (F.col("i") - F.col("q")).alias("start"), "h", "item")
+    texts = docs.select(F.col(key).alias("key"), hashes(F.col("text"), by_letter).alias("h")).withColumn("row", F.xxhash64("key", F.col("key").isNull(), "h"))
+    spots = windows(texts, masks, over=True)
+    hits = spots.join(seeds, "seed").select("key", "row", "item_id", "item_row", (F.col("i") - F.col("q")).alias("start"), "h", "item")
     # the document's words at this alignment; get() is null outside of the text
     aligned = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.coalesce((F.col("start") + j >= 0) & (F.get("h", F.greatest(F.col("start") + j, F.lit(0))) == F.get("item", j)), F.lit(False)))
-    hits = hits.select("key", "item_id", "start", aligned.alias("equal"))
-    once = hits.groupBy("key", "item_id", "start").agg(F.max("equal").alias("equal"))
+    # one text at one alignment has one array; rows are pooled by key and item_id once each is verified
+    hits = hits.select("key", "row", "item_id", "item_row", "start", aligned.alias("equal"))
+    once = hits.groupBy("key", "row", "item_id", "item_row", "start").agg(F.first("equal").alias("equal"))
     width = F.least(F.lit(WINDOW), F.size("equal"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda j: F.size(F.filter(F.slice("equal", j, width), lambda x: x))))
     sure = once.where(best >= F.ceil(width * F.lit(SHARE) - 1e-9)).select("key", "item_id", "start", F.size(F.filter("equal", lambda x: x)).cast("long").alias("n_equal"))

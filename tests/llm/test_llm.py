@@ -285,3 +285,11 @@ def test_decontaminate_short_items(spark):
     docs = spark.createDataFrame([(k, d, "s") for k, (_, d, _) in enumerate(cases)], SCHEMA)
     got = {(r.doc_id, r.item_id) for r in op9_decontaminate.overlaps(docs, bench).collect()}
     assert got == {(k, k) for k, c in enumerate(cases) if c[2]}
+
+
+def test_decontaminate_same_ids(spark):
+    w = [f"w{k}" for k in range(13)]
+    near, far = [*w[:8], "x", *w[9:]], [*w[:9], "x", "x", "x", "x"]  # 12 and 9 of 13 equal
+    docs = spark.createDataFrame([(1, " ".join(near), "s"), (1, " ".join(far), "s"), (None, " ".join(near), "s"), (None, " ".join(far), "s")], SCHEMA)
+    bench = spark.createDataFrame([(None, " ".join(w)), (None, " ".join(w[:8] + [f"y{k}" for k in range(5)])), (5, "other words of an item that stand in no document at all here")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_equal, r.start) for r in op9_decontaminate.overlaps(docs, bench).collect()} == {(1, None, 12, 0), (None, None, 12, 0)}
