@@ -31,7 +31,7 @@ from .common import Rolling, U, mix, pieces, read, stored
 LENGTH = 400
 GRAM = 100
 BLOCK = 16  # windows of an edge run that are tested together
-PIECE = 2 << 20  # longer texts are cut into pieces that overlap by LENGTH - 1 bytes
+PIECE = 2 << 20  # longer texts are cut into pieces that overlap by length - 1 bytes
 _BITS = 24  # of an anchor's place within a piece
 
 
@@ -48,14 +48,14 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of the first byte, bytes, offsets): the input, or the overlapping pieces of one long text."""
     if len(data) <= 4 * PIECE:
         yield 0, data, offsets
     else:
         for at in range(0, len(data), PIECE):
-            part = data[at : at + PIECE + LENGTH - 1]
-            if len(part) >= LENGTH:
+            part = data[at : at + PIECE + length - 1]
+            if len(part) >= length:
                 yield at, part, np.array([0, len(part)])
 
 
@@ -117,7 +117,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) ->
     def to_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, _, data, offsets in pieces(batch.column(2), PIECE):
-                for at, part, ends in stretches(data, offsets):
+                for at, part, ends in stretches(data, offsets, length):
                     row, first, last, place, key, whole = runs_of(part, ends, length, gram)
                     pick = pa.array(row + a)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first + at), pa.array(last + at), pa.array(place + at), _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor_at", "anchor", "whole"])

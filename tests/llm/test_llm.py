@@ -293,3 +293,11 @@ def test_decontaminate_same_ids(spark):
     docs = spark.createDataFrame([(1, " ".join(near), "s"), (1, " ".join(far), "s"), (None, " ".join(near), "s"), (None, " ".join(far), "s")], SCHEMA)
     bench = spark.createDataFrame([(None, " ".join(w)), (None, " ".join(w[:8] + [f"y{k}" for k in range(5)])), (5, "other words of an item that stand in no document at all here")], "item_id long, text string")
     assert {(r.doc_id, r.item_id, r.n_equal, r.start) for r in op9_decontaminate.overlaps(docs, bench).collect()} == {(1, None, 12, 0), (None, None, 12, 0)}
+
+
+@pytest.mark.parametrize("length", [20, 400, 700])
+def test_pieces_of_long_texts_hold_each_window_once(monkeypatch, length):
+    monkeypatch.setattr(op2_repeats, "PIECE", 1000)
+    data = np.zeros(4900, np.uint8)
+    starts = [at + k for at, part, _ in op2_repeats.stretches(data, np.array([0, len(data)]), length) for k in range(len(part) - length + 1)]
+    assert starts == list(range(len(data) - length + 1))
