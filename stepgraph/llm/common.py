@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,9 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 PIECE_BYTES = 1 << 20  # numpy work on texts is done in pieces of about this size; a hash takes some 60 bytes a byte
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch of texts
+LONG = 4096  # bytes of words that are hashed all together
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; in tests a local one is set."""
@@ -40,6 +44,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold BATCH_BYTES at most (or one row), so a Python worker that takes
+    whole texts holds as much with long texts as with short ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -78,7 +88,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: its length and its blocks of 8 bytes, each mixed in before the next.
+
+    Up to LONG bytes for all words together, longer words by BLAKE2b: no word costs a pass for each of its blocks.
+    """
+    size = (end - start).astype(np.int64)
+    full = np.zeros(len(data) + 8, np.uint8)
+    full[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", full, 0, (1,))
+    h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(todo):
+        left = np.minimum(size[todo] - at, 8).astype(U)
+        block = blocks[start[todo] + at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - left * U(8)))
+        h[todo] = mix((h[todo] ^ block) * U(0xD6E8FEB86659FD93) + U(0x2545F4914F6CDD1D))
+        at += 8
+        todo = todo[size[todo] > at]
+    for n in np.flatnonzero(size > LONG):
+        h[n] = int.from_bytes(hashlib.blake2b(data[start[n] : end[n]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
+_PRIME = (1 << 31) - 1
+_BASE2 = 1_234_567_891
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -91,18 +126,38 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _power_of_prime(kind: str, base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo _PRIME, by doubling."""
+    have = _powers.get(kind)
+    if have is None or len(have) < n:
+        x = np.ones(1, U)
+        while len(x) < max(n, 1 << 16):
+            x = np.concatenate([x, x * U(pow(base, len(x), _PRIME)) % U(_PRIME)])
+        have = _powers[kind] = x
+    return have[:n]
+
+
 class Rolling:
-    """Polynomial hashes of any substrings of a byte array, from one pass of prefix sums modulo 2**64."""
+    """Hashes of any substrings of a byte array, from prefix sums of two polynomials.
+
+    One is modulo 2**64, where some strings of 1,024 bytes and more (Thue-Morse words) are known to coincide for every
+    base; the other is modulo the prime 2**31 - 1, where they don't. Both go into the mixed 64 bits.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.prefix = np.zeros(n + 1, U)
         np.cumsum(_BYTE[data] * _power("base", _BASE, n), out=self.prefix[1:])
         self.inverse = _power("inverse", _INVERSE, n + 1)
+        self.second = np.zeros(n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * _power_of_prime("base2", _BASE2, n) % U(_PRIME), out=self.second[1:])
+        self.inverse2 = _power_of_prime("inverse2", pow(_BASE2, -1, _PRIME), n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of data[start:end]; equal bytes give equal hashes wherever they stand."""
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        one = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
+        two = (self.second[end] - self.second[start]) % U(_PRIME) * self.inverse2[start] % U(_PRIME)
+        return mix(one + mix(two << U(32) ^ (end - start).astype(U)))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

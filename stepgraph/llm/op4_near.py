@@ -6,10 +6,14 @@ in a million at exactly that likeness. The signature is split into CHUNKS chunks
 within ERRORS differ in at most one symbol of some chunk: each node enumerates, for each chunk, the chunk with each one
 symbol left out, and nodes that meet at such a key are candidates. That finds all pairs within the distance.
 
-Candidates are confirmed on full sets. No bucket emits all its pairs: first each member is held against PIVOTS of the
-bucket's nodes, and buckets whose members are linked by then are done. The members of buckets that still hold more than
-one component, pivots aside, are paired across components only, and only where they share one of their rarest shingles
-early enough: an exact filter that passages which many documents share don't get through.
+Candidates are confirmed on full sets. No bucket emits all its pairs: in each round, a bucket that still holds several
+components has one pivot, of its largest component the node that meets most others, and each other node is held against
+one pivot of its buckets, so a round makes no more pairs than there are nodes. When rounds join little more, the members
+of buckets that still hold several components are paired across components only, and only where they share one of
+their rarest shingles early enough: an exact filter that passages which many documents share don't get through.
+
+Before sets are compared, a parity sketch rules pairs out: each shingle flips one of SKETCH bits, so two sketches differ
+in no more bits than the sets in shingles, and alike sets differ in at most a ninth of both sizes. That filter is exact.
 """
 
 from __future__ import annotations
@@ -18,26 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Rolling, U, lowered, mix, pieces, read, stored, words_of
+from .common import U, bounded_batches, lowered, mix, pieces, read, stored, word_hashes, words_of
 from .graph import components
 
 SIMILAR = 80  # per cent
-SYMBOLS, ERRORS, CHUNKS = 96, 37, 19  # ERRORS // CHUNKS is 1: one error in some chunk at most
+SYMBOLS, ERRORS, CHUNKS = 64, 29, 15  # ERRORS // CHUNKS is 1: one error in some chunk at most
 _EDGES = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
 _SEED = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEED[:SYMBOLS], _SEED[SYMBOLS:] | U(1)
-PIVOTS = 3  # nodes of a bucket that all its members are held against
+SKETCH = 512  # bits
+WORTH = 0.05  # rounds go on while more than this share of their pairs are links
 SLICE = 1 << 15  # hashes that are minhashed at once
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Each text's distinct shingles of k words as sorted hashes; with fewer words all of them are one shingle."""
     start, end, row = words_of(data, offsets)
-    word = Rolling(lowered(data)).of(start, end)
+    word = word_hashes(lowered(data), start, end)
     count = np.bincount(row, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
     many = max(0, len(word) - k + 1)
@@ -80,45 +85,30 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def keys_of(signature: np.ndarray) -> np.ndarray:
-    """All keys of each signature: for each chunk and each place in it, a hash of the chunk without that place."""
-    wide = signature.astype(U)
-    out = np.empty((len(wide), SYMBOLS), U)
-    for c in range(CHUNKS):
-        a, b = _EDGES[c], _EDGES[c + 1]
-        for place in range(a, b):
-            h = np.full(len(wide), place + 1, U)
-            for j in range(a, b):
-                if j != place:
-                    h = mix(h * U(0x9E3779B97F4A7C15) + wide[:, j] + U(1))
-            out[:, place] = h
-    return out
-
-
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, row_id (of id and text), n_shingles, node (hash of the set), signature."""
+    """doc_id, row_id (of id and text), n_shingles, node (hash of the set), signature, sketch."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, b, data, offsets in pieces(batch.column(2)):
                 sets = shingle_sets(data, offsets, k)
-                node = np.array([mix(np.bitwise_xor.reduce(mix(s + U(7))) + U(len(s)) * U(3) if len(s) else U(0)) for s in sets], U) if sets else np.zeros(0, U)
+                each = np.array([np.bitwise_xor.reduce(mix(s + U(7))) for s in sets], U)
+                node = mix(each + np.array([len(s) for s in sets], U) * U(3))
                 signature = pa.array([x.tobytes() for x in signatures(sets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(node.view(np.int64)), signature], ["doc_id", "row_id", "n_shingles", "node", "signature"])
+                bits = np.array([np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1 for s in sets], np.uint8)
+                sketch = pa.array(list(np.packbits(bits, axis=1).view(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(node.view(np.int64)), signature, sketch], ["doc_id", "row_id", "n_shingles", "node", "signature", "sketch"])
 
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id long, n_shingles long, node long, signature binary")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_id"), "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id long, n_shingles long, node long, signature binary, sketch array<long>")
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                signature = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), SYMBOLS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys_of(signature).ravel().view(np.int64)), pa.array(node)], ["key", "node"])
-
-    return nodes.select("node", "signature").mapInArrow(batches, "key long, node long")
+    """key, node: for each chunk and each place in it, a hash of the chunk without that place."""
+    keys = []
+    for c in range(CHUNKS):
+        chunk = range(_EDGES[c], _EDGES[c + 1])
+        keys += [F.xxhash64(F.lit(place), *[F.substring("signature", 2 * j + 1, 2) for j in chunk if j != place]) for place in chunk]
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -142,6 +132,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return both.where(100 * shared >= similar * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def in_components(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
+    """buckets (key, node, ...) with component and size (its nodes); a node that found (node, component) lacks is its
+    own component."""
+    if found is None:
+        return buckets.select("*", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
+    sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
+    own = buckets.join(sized, "node", "left")
+    return own.select(*buckets.columns, F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+
+
+def pivot_pairs(placed: DataFrame) -> DataFrame:
+    """Distinct pairs (a > b) of placed (key, node, met, component, size): each node of a bucket that holds another
+    component's pivot against one such pivot. A bucket's pivot is a node of its largest component, the one met most."""
+    order = F.struct(-F.col("size"), -F.col("met"), "component", "node")
+    pivots = placed.groupBy("key").agg(F.min(order).alias("p"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", "p")
+    asked = placed.join(pivots, "key").where("component <> p.component").groupBy("node").agg(F.min("p").alias("p"))
+    return asked.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
+
+
+def can_be_alike(m: str, n: str, x: str, y: str, similar: int) -> Column:
+    """False if sizes m and n or sketches x and y tell that two sets aren't alike."""
+    sizes = 100 * F.least(m, n) >= similar * F.greatest(m, n)
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    return sizes & ((100 + similar) * apart <= (100 - similar) * (F.col(m) + F.col(n)))
+
+
+def looked_at(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
+    """pairs (a, b) with maybe: whether they can be alike."""
+    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    both = pairs.join(first, "a").join(nodes.select(F.col("node").alias("b"), "n", F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", can_be_alike("m", "n", "x", "y", similar).alias("maybe"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text); also row_id (of id and text) and
     group, which tells components apart where ids are null.
@@ -150,43 +173,45 @@ def near_duplicates(docs: DataFrame, k: int = 4, similar: int = SIMILAR) -> Data
     one without words has an empty set, is linked with nothing and is its own component. Rows with equal sets are
     linked whatever their ids, repeated rows too; a null doc_id is never a component's id unless it stands alone.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     held = stored(profiles(docs, k), "profiles")
-    nodes = stored(held.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "nodes")
+    nodes = stored(held.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "nodes")
     keys = keyed(nodes)
-    pivots = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(n))) for n in range(PIVOTS)]))
-    buckets = keys.groupBy("key").agg(pivots.alias("pivots"), F.count("*").alias("members")).where("members > 1").select("key", "pivots")
-    many = stored(keys.join(buckets, "key"), "buckets")
-    sizes = nodes.select("node", "n")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    many = keys.join(shared, "key")
+    met = many.groupBy("node").agg(F.sum("members").alias("met"))
+    many = stored(many.select("key", "node").join(met, "node"), "buckets")
+    sizes = nodes.select("node", "n", "sketch")
     sets = stored(full_sets(docs, nodes.join(many.select("node").distinct(), "node", "left_semi").select("row_id", "node"), k), "sets")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose sizes alone tell them apart."""
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("node").alias("b"), "n"), "b")
-        return sized.where(100 * F.least("m", "n") >= similar * F.greatest("m", "n")).select("a", "b")
-
-    held_up = many.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
-    tried = stored(close(held_up.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()), "pairs")
-    links = stored(confirmed(tried, sets, similar), "links")
-    found = stored(components(links), "components")
-
-    # across components: only nodes of buckets that still hold more than one; a pivot's pairs have all been tried
-    placed = many.where(~F.array_contains("pivots", F.col("node"))).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    tried, links, found = None, None, None
+    while True:
+        pairs = pivot_pairs(in_components(many, found))
+        pairs = stored(looked_at(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sizes, similar), "pairs")
+        more = stored(confirmed(pairs.where("maybe").select("a", "b"), sets, similar), "links")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links = more if links is None else links.unionByName(more)
+        n, asked = more.count(), pairs.count()
+        if n:
+            found = stored(components(links), "components")
+        if n <= WORTH * asked:
+            break
+
+    placed = in_components(many, found)
     open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     placed = placed.join(open_, "key", "left_semi").select("node", "component").distinct().join(sizes, "node")
     across = rare_partners(stored(placed, "open"), sets, similar).join(tried, ["a", "b"], "left_anti")
-    more = confirmed(across, sets, similar)
-    links = stored(links.unionByName(more), "links")
-    found = components(links)
+    found = components(stored(links.unionByName(confirmed(across, sets, similar)), "links"))
 
     lows = nodes.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     named = lows.join(lows.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id", F.col("component").alias("group"))
-    out = held.drop("signature").join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    out = held.drop("signature", "sketch").join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "row_id", F.when(F.col("n_shingles") > 0, F.col("group")).otherwise(F.col("row_id")).alias("group"), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def rare_partners(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a > b) of nodes of different components that can be alike: placed is (node, component, n).
+    """Pairs (a > b) of nodes of different components that can be alike: placed is (node, component, n, sketch).
 
     In any one order of all shingles, two alike sets share one of their first n - ceil(n * similar / 100) + 1. The order
     is from rare to frequent, so what many documents share (a passage, a licence) comes last and proposes no pairs.
@@ -200,11 +225,12 @@ def rare_partners(placed: DataFrame, sets: DataFrame, similar: int) -> DataFrame
     single = F.col("n") - F.count("*").over(of_node)  # shingles that no other node has come first
     rank = single + F.row_number().over(of_node.orderBy("df", "shingle"))
     first = known.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)
-    first = stored(first.select("shingle", "node", "component", "n", (F.col("n") - F.col("rank") + 1).alias("rest")), "rare")
+    first = stored(first.select("shingle", "node", "component", "n", "sketch", (F.col("n") - F.col("rank") + 1).alias("rest")), "rare")
     largest = first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-    left = first.join(largest, "shingle").where("component <> largest").select("shingle", F.col("node").alias("a"), F.col("component").alias("p"), F.col("n").alias("m"), F.col("rest").alias("x"))
-    right = first.select("shingle", F.col("node").alias("b"), F.col("component").alias("q"), "n", F.col("rest").alias("y"))
-    pairs = left.join(right, "shingle").where(f"p <> q AND 100 * least(m, n) >= {similar} * greatest(m, n) AND {100 + similar} * least(x, y) >= {similar} * (m + n)")
+    left = first.join(largest, "shingle").where("component <> largest").select("shingle", F.col("node").alias("a"), F.col("component").alias("p"), F.col("n").alias("m"), F.col("rest").alias("rest_a"), F.col("sketch").alias("x"))
+    right = first.select("shingle", F.col("node").alias("b"), F.col("component").alias("q"), "n", F.col("rest").alias("rest_b"), F.col("sketch").alias("y"))
+    late = (100 + similar) * F.least("rest_a", "rest_b") >= similar * (F.col("m") + F.col("n"))
+    pairs = left.join(right, "shingle").where((F.col("p") != F.col("q")) & late & can_be_alike("m", "n", "x", "y", similar))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

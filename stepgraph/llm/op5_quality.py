@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, Rolling, lowered, mix, pieces, read, words_of
+from .common import bounded_batches, lowered, pieces, read, word_hashes, words_of
 
 MOST_ROWS = 20_000  # labelled rows that a model is fitted on, those with the smallest hashes
 ACCEPT = 0.7  # a score from which a document is accepted
@@ -44,7 +44,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of_text, of_words = 1 / np.maximum(size, 1), 1 / np.maximum(count, 1)
     upper = (data >= 65) & (data <= 90)
     mark = _ASCII_MARK[data]
-    key = Rolling(lowered(data)).of(start, end)
+    key = word_hashes(lowered(data), start, end)
     last, first = data[end - 1], data[start]
     longer = np.bincount(row, weights=(end - start), minlength=rows)
 
@@ -57,11 +57,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             same[step:] = (key[step:] == key[:-step]) & (row[step:] == row[:-step])
         return same
 
-    pairs = np.unique(mix(key ^ mix(row.astype(U) + U(1))) & ~U(0xFFF) | (row.astype(U) & U(0xFFF))) if rows <= 0xFFF else None
-    if pairs is None:
-        distinct = np.array([len(np.unique(key[a:b])) for a, b in zip(np.searchsorted(row, range(rows)), np.searchsorted(row, range(rows), "right"), strict=True)], float)
-    else:
-        distinct = np.bincount((pairs & U(0xFFF)).astype(np.int64), minlength=rows)[:rows].astype(float)
+    order = np.lexsort((key, row))
+    k, r = key[order], row[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    distinct = np.bincount(r[fresh], minlength=rows)
     columns = (
         np.log1p(size), np.log1p(count), longer * of_words, _per_row(upper, offsets) * of_text, _per_row((data >= 48) & (data <= 57), offsets) * of_text,
         _per_row(mark, offsets) * of_text, _per_row(data == 33, offsets) * of_text, share((end - start == 1) & (first == 124)), share(mark[end - 1] | (last == 33)),
@@ -168,20 +168,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_ROWS) -> DataFrame:
-    """text and y of at most `most` labelled documents that are not held out; rows with a null id or label are left out."""
+    """doc_id, text and y of at most `most` labels whose documents are not held out; rows with a null id or label are
+    left out. A repeated id comes with each of its texts."""
     sure = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     sample = sure.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Additive:
+    """Fitted on features alone: of texts that share an id and a label, the one with the least features counts."""
+    bounded_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, b, data, offsets in pieces(batch.column(0)):
                 x = features(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)[a:b]], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)[a:b], batch.column(2)[a:b]], ["x", "y", "doc_id"])
 
-    rows = labelled(docs, labels, "quality").mapInArrow(batches, "x array<double>, y int").limit(2 * MOST_ROWS).toPandas()
+    found = labelled(docs, labels, "quality").mapInArrow(batches, f"x array<double>, y int, doc_id {kind}")
+    rows = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     order = np.lexsort([*x.T, rows["y"].to_numpy()]) if len(rows) else np.zeros(0, int)  # the order of arrival counts for nothing
     return fitted(x[order], rows["y"].to_numpy()[order].astype(float))
@@ -190,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Additive:
 def scored(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of each row. A null text counts as empty; repeated rows give repeated scores; ids,
     labels and other columns are never read."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +208,9 @@ def scored(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "t
 
 
 def accepted(docs: DataFrame, model: Additive, least: float = ACCEPT) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is `least` or more."""
+    """The rows of docs, with all their columns, whose score is `least` or more. A null text is scored as an empty one
+    and stays null; repeated rows stay or go together; an empty table stays empty."""
+    bounded_batches(docs.sparkSession)
     where = docs.columns.index("text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

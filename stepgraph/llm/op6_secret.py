@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import lowered, pieces, read
+from .common import bounded_batches, lowered, pieces, read
 
 
 @dataclass(frozen=True)
@@ -186,6 +186,7 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tup
     Matches of a rule are leftmost and do not overlap; those of different rules may. A null or empty text has no
     spans, repeated rows give repeated results, and columns of other names are not read.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,9 @@ def secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tup
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each span (overlapping ones as one) replaced by mark; all columns stay, a null text stays null."""
+    """docs with each span (overlapping ones as one) replaced by mark; all columns stay, a null text
+    stays null, repeated rows are changed alike and an empty table stays empty."""
+    bounded_batches(docs.sparkSession)
     schema, where = docs.schema, docs.columns.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

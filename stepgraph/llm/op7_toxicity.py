@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, Rolling, lowered, pieces, read, words_of
+from .common import _SPACE, bounded_batches, lowered, pieces, read, word_hashes, words_of
 from .op5_quality import held_out, labelled
 
 #: a-z, five for the last bytes of other letters, one for a word's beginning, and one for all else, which is a gap only.
@@ -146,7 +146,7 @@ class Machine:
         """Decision values of words; each different word is worked out once."""
         if not len(start):
             return np.zeros(0)
-        _, first, back = np.unique(Rolling(data).of(start, end), return_index=True, return_inverse=True)
+        _, first, back = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
         return self.different(data, start[first], end[first])[back]
 
     def different(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def fitted(texts: list[bytes], y: np.ndarray) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Machine:
     """From `most` labelled documents at most; their texts are what the driver holds."""
-    rows = labelled(docs, labels, "toxic", most).limit(2 * most).toPandas()
+    rows = labelled(docs, labels, "toxic", most).select("text", "y").toPandas()
     texts = [(t or "").encode() for t in rows["text"]]
     order = sorted(range(len(texts)), key=lambda k: (texts[k], rows["y"][k]))  # the order of arrival counts for nothing
     return fitted([texts[k] for k in order], np.array([rows["y"][k] for k in order], float))
@@ -272,6 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Machine:
 def scored(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of each row. A null text counts as empty; repeated rows give repeated scores; other
     columns are never read."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

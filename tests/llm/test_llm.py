@@ -9,6 +9,7 @@ from compare import oracle, rows
 from pyspark.sql import functions as F
 
 from stepgraph.llm import op1_license, op2_repeats, op3_preference, op4_near, op5_quality, op6_secret, op7_toxicity, op8_mix, op9_decontaminate, op10_neighbours
+from stepgraph.llm.common import Rolling, word_hashes
 from stepgraph.llm.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +71,19 @@ def test_near_on_table(spark):
     assert got == op4_near.plain(docs)
 
 
+def test_near_tells_hard_words_apart(spark):
+    word = b"a"
+    for _ in range(10):
+        word += bytes(195 - c for c in word)  # Thue-Morse: polynomial hashes modulo 2**64 can't tell it from its complement
+    other = bytes(195 - c for c in word)
+    docs = [(1, f"x y z {word.decode()}"), (2, f"x y z {other.decode()}"), (3, f"x y z {word.decode()}"), (4, "y " * 20_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op4_near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == op4_near.plain(docs) and got[2][1] == 2
+    data = np.frombuffer(word + other, np.uint8)
+    start, end = np.array([0, len(word)]), np.array([len(word), 2 * len(word)])
+    assert len(set(Rolling(data).of(start, end))) == 2 and len(set(word_hashes(data, start, end))) == 2
+
+
 @pytest.mark.parametrize("name", ["op5_quality", "op7_toxicity"])
 def test_classifiers(spark, name):
     got = QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
