@@ -1,4 +1,8 @@
-"""A corpus from raw documents to a mix: five stages, each written and reread before the next."""
+"""A corpus from raw documents to a mix: five stages, each written and reread before the next.
+
+Each stage takes rows as they are: a null id or text is a row like others, repeated rows stay or go by the stage's own
+rule, an empty table stays empty, and further columns of any name are carried along.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,16 @@ from pyspark.sql import functions as F
 from stepgraph.llm import op4_near, op5_quality, op6_secret, op8_mix, op9_decontaminate
 from stepgraph.llm.common import read, stored
 
+SHINGLE = 5  # words; the near-duplicate query's contract has 4 for itself alone
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column, of a name that it lacks, that tells rows apart by id and text; and that name."""
+    name = "row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
@@ -16,34 +30,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the row with its smallest doc_id; of rows that share that id, one."""
-    found = op4_near.near_duplicates(docs)
-    one = found.where("kept").groupBy("group").agg(F.min("row_id").alias("_row"))
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return own.join(one.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """One document of each group: a row with its smallest doc_id. Texts without words are linked with nothing and all
+    stay, one of rows that are equal in id and text."""
+    found = op4_near.near_duplicates(docs, SHINGLE)
+    own, row = numbered(docs)
+    one = found.where("kept").groupBy("group").agg(F.min("row_id").alias(row)).select(row)
+    return own.join(one, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item. Rows are told apart by id and text, so a null id is a row too."""
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = op9_decontaminate.overlaps(own, read(spark, sf_dir, "benchmark"), key="_row")
-    return own.join(found.select("_row").distinct(), "_row", "left_anti").select(*docs.columns)
+    """Documents that overlap with no benchmark item."""
+    own, row = numbered(docs)
+    found = op9_decontaminate.overlaps(own, read(spark, sf_dir, "benchmark"), key=row)
+    return own.join(found.select(row).distinct(), row, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced; n_chars follows where a text changed."""
+    """All documents, secrets in their texts replaced; n_chars follows where there is a text."""
     clean = op6_secret.redacted(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each document: how many of its words the mix takes."""
+    """doc_id, source, size, source_size, target, taken of each document: how many of its words the mix takes."""
     return op8_mix.mixed(op8_mix.items_of(docs)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
 
-ORACLE_SQL = None  # a trained classifier has no SQL; tests hold each stage against a plain version
+ORACLE_SQL = None  # a trained classifier has no SQL; tests/llm holds the stages against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
