@@ -79,15 +79,19 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
 
 
 def branches(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """proc_id, n_steps, n_branches, largest, acyclic of steps (proc_id, id) and edges (proc_id, src, dst).
+    """proc_id, n_steps, n_branches, largest, stuck of steps (proc_id, id) and edges (proc_id, src, dst): src depends on
+    dst. A repeated id is one node, and its copies count as steps left over.
 
     A procedure's graph is one group of a few dozen steps, so a grouped function orders and joins it; references to
-    unknown steps are ignored. acyclic is false if a topological order leaves steps over.
+    unknown steps are ignored, and a procedure with edges but no steps has no row. stuck counts the steps that a
+    topological order leaves over: those on a cycle and all that depend on one.
     """
     import pandas as pd
 
     def one(key, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = list(dict.fromkeys(s["id"]))
+        if not ids:
+            return pd.DataFrame({"proc_id": [], "n_steps": [], "n_branches": [], "largest": [], "stuck": []})
         root, waits, after = {i: i for i in ids}, dict.fromkeys(ids, 0), {i: [] for i in ids}
 
         def find(i):
@@ -109,7 +113,7 @@ def branches(steps: DataFrame, edges: DataFrame) -> DataFrame:
                 if not waits[nxt]:
                     free.append(nxt)
         sizes = pd.Series([find(i) for i in ids]).value_counts()
-        return pd.DataFrame({"proc_id": [key[0]], "n_steps": [len(ids)], "n_branches": [len(sizes)], "largest": [int(sizes.max()) if len(sizes) else 0], "acyclic": [seen == len(ids)]})
+        return pd.DataFrame({"proc_id": [key[0]], "n_steps": [len(s)], "n_branches": [len(sizes)], "largest": [int(sizes.max())], "stuck": [len(s) - seen]})
 
-    out = "proc_id long, n_steps long, n_branches long, largest long, acyclic boolean"
-    return steps.select("proc_id", "id").groupBy("proc_id").cogroup(edges.select("proc_id", "src", "dst").groupBy("proc_id")).applyInPandas(one, out)
+    out = f"proc_id {steps.schema['proc_id'].dataType.simpleString()}, n_steps long, n_branches long, largest long, stuck long"
+    return steps.select("proc_id", "id").groupBy("proc_id").cogroup(edges.select(F.col("proc_id").alias("of"), "src", "dst").groupBy("of")).applyInPandas(one, out)

@@ -6,57 +6,104 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TOLERANCE = 0.001
-TRACE = "user string, seq long, part string, ok boolean, reason string"
-_STATE = "placed array<string>, pending double"
+TRACE = "user string, seq long, part string, ok boolean, reason string, hesitation double, at double, entered double"
+_STATE = "placed array<string>, pending string, started double, last double"
 
 
-def replayed(actions: pd.DataFrame, steps: pd.DataFrame, placed: list[str], pending: float | None) -> tuple[pd.DataFrame, list[str], float | None]:
-    """Trace of actions (seq, kind 'attempt' or 'torque', part, value) in order of seq; steps: id, part, depends (list), torque.
+def replayed(user, actions: pd.DataFrame, steps: pd.DataFrame, placed: list[str], pending: str | None, started: float | None, last: float | None) -> tuple[list[tuple], list[str], str | None, float | None, float | None]:
+    """Trace of actions (seq, kind 'attempt' or 'torque', part, value, ts in seconds) in order of seq, and the state
+    after it; steps: id, installs (list), depends (list), torque, in order.
 
-    Guards in their order: a torque is outstanding, the part is placed, no step installs it, a step it depends on is
-    not done. A placed part whose step has a torque waits for that figure.
+    Guards in their order: a torque is outstanding, the part is placed, no step installs it, the first step that is not
+    done among those its step depends on. A step is done when all it installs is placed, at once if it installs
+    nothing; an unknown step is no hindrance. Of several steps that install a part the first counts. A step with a
+    torque waits for that figure once all it installs is placed; a figure that nothing waits for leaves no trace.
     """
-    of_part = {r.part: r for r in steps.itertuples()}
-    of_step = {r.id: r.part for r in steps.itertuples()}
-    out = []
+    rows = list(steps.itertuples())
+    of_part: dict[str, object] = {}
+    for s in rows:
+        for p in s.installs:
+            of_part.setdefault(p, s)
+    by_id = {s.id: s for s in reversed(rows)}
+    held, out = list(placed), []
+    done = lambda s: all(p in held for p in s.installs)
     for a in actions.sort_values("seq").itertuples():
+        now = float(a.ts)
+        if a.kind == "torque" and pending is None:
+            continue
+        started = now if started is None else started
+        slow, last = now - (started if last is None else last), now
         if a.kind == "torque":
-            if pending is None:
-                continue
-            ok = abs(a.value - pending) <= TOLERANCE
-            out.append((a.user, a.seq, a.part, ok, None if ok else "wrong-torque"))
+            part, entered = by_id[pending].installs[0], float(a.value)
+            ok = abs(entered - by_id[pending].torque) <= TOLERANCE
+            reason = "torque-ok" if ok else "wrong-torque"
             pending = None if ok else pending
-            continue
-        step = of_part.get(a.part)
-        if pending is not None:
-            reason = "torque-outstanding"
-        elif a.part in placed:
-            reason = "already-placed"
-        elif step is None:
-            reason = "no-step"
-        elif any(of_step.get(d) not in placed for d in step.depends):
-            reason = "unmet-dependency"
         else:
-            reason, placed = None, [*placed, a.part]
-            pending = float(step.torque) if step.torque is not None and step.torque == step.torque else None
-        out.append((a.user, a.seq, a.part, reason is None, reason))
-    return pd.DataFrame(out, columns=["user", "seq", "part", "ok", "reason"]), placed, pending
+            part, entered, ok, step = a.part, None, False, of_part.get(a.part)
+            if pending is not None:
+                reason = "torque-outstanding"
+            elif a.part in held:
+                reason = "already-placed"
+            elif step is None:
+                reason = "no-step"
+            elif next((d for d in step.depends if d not in by_id or not done(by_id[d])), None) in by_id:
+                reason = "out-of-order"
+            else:
+                ok, reason = True, None
+                held.append(a.part)
+                if step.torque is not None and step.torque == step.torque and done(step):
+                    pending = step.id
+        out.append((user, a.seq, part, ok, reason, slow, now - started, entered))
+    return out, held, pending, started, last
+
+
+def _frame(trace: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(trace, columns=["user", "seq", "part", "ok", "reason", "hesitation", "at", "entered"])
+    return frame.astype({"hesitation": float, "at": float, "entered": float})
 
 
 def replay(actions: DataFrame, steps: pd.DataFrame) -> DataFrame:
     """One user's actions are one group; steps is one procedure, a few dozen rows."""
-    return actions.groupBy("user").applyInPandas(lambda pdf: replayed(pdf, steps, [], None)[0], TRACE)
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _frame(replayed(key[0], pdf, steps, [], None, None, None)[0])
+
+    return actions.groupBy("user").applyInPandas(one, TRACE)
 
 
 def replay_stream(actions: DataFrame, steps: pd.DataFrame) -> DataFrame:
-    """The same for a streaming DataFrame; what a user has placed is kept between batches."""
+    """The same for a streaming DataFrame; what a user has placed is kept between batches. Within a batch actions are
+    taken in order of seq; one that comes after a later action's batch is taken as it comes."""
 
     def one(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        placed, pending = state.get if state.exists else ([], None)
-        trace, placed, pending = replayed(pd.concat(list(frames)), steps, list(placed), pending)
-        state.update((placed, pending))
-        yield trace
+        before = state.get if state.exists else ([], None, None, None)
+        trace, *after = replayed(key[0], pd.concat(list(frames)), steps, list(before[0]), *before[1:])
+        state.update(tuple(after))
+        yield _frame(trace)
 
     return actions.groupBy("user").applyInPandasWithState(one, TRACE, _STATE, "append", "NoTimeout")
+
+
+def finished(trace: DataFrame, parts: DataFrame) -> DataFrame:
+    """user, n_placed, complete: all of parts (part_id) are placed and no torque is outstanding, that is no placed part
+    comes after the last accepted figure of a step that waits; told by the last row, for which waits says so."""
+    n = parts.select("part_id").distinct().count()
+    placed = F.countDistinct(F.when(F.col("ok") & F.col("reason").isNull(), F.col("part")))
+    waits = F.max_by("waits", "seq")
+    return trace.groupBy("user").agg(placed.alias("n_placed"), waits.alias("w")).select("user", "n_placed", ((F.col("n_placed") == n) & ~F.col("w")).alias("complete"))
+
+
+def with_waits(trace: DataFrame, steps: DataFrame) -> DataFrame:
+    """trace with waits: whether a torque is outstanding after the row; steps is (part, size, torque) of each part's step
+    and the count of parts that it installs."""
+    from pyspark.sql import Window as W
+
+    own = trace.join(F.broadcast(steps.select("part", "step", "size", "torque")), "part", "left")
+    so_far = W.partitionBy("user", "step").orderBy("seq")
+    count = F.count(F.when(F.col("ok") & F.col("reason").isNull(), 1)).over(so_far)
+    fresh = F.col("ok") & F.col("reason").isNull() & F.col("torque").isNotNull() & (count == F.col("size"))
+    odd = F.col("reason").isin("wrong-torque", "torque-outstanding")
+    return own.withColumn("waits", F.coalesce(fresh, F.lit(False)) | F.coalesce(odd, F.lit(False))).drop("step", "size", "torque")

@@ -1,18 +1,24 @@
 import pandas as pd
 
-from stepgraph.streaming.perform import replay, replay_stream
+from stepgraph.streaming.perform import finished, replay, replay_stream, with_waits
 
-STEPS = pd.DataFrame({"id": ["s01", "s02", "s03"], "part": ["case", "shaft", "bolt"], "depends": [[], ["s01"], ["s02"]], "torque": [None, None, 24.0]})
-ACTIONS = [("u", 1, "attempt", "shaft", None), ("u", 2, "attempt", "case", None), ("u", 3, "attempt", "case", None), ("u", 4, "attempt", "shaft", None), ("u", 5, "attempt", "bolt", None), ("u", 6, "attempt", "case", None), ("u", 7, "torque", "bolt", 20.0), ("u", 8, "torque", "bolt", 24.0), ("u", 9, "attempt", "none", None)]
-WANT = [False, True, False, True, True, False, False, True, False]
-SCHEMA = "user string, seq long, kind string, part string, value double"
+STEPS = pd.DataFrame({"id": ["s01", "s02", "s03", "s04"], "installs": [["case"], ["shaft", "pin"], [], ["bolt", "nut", "case"]], "depends": [[], ["s01"], ["s01"], ["s03", "s02"]], "torque": [None, 24.0, None, None]})
+#: part or figure, accepted, reason, part in the trace
+SAID = [
+    ("shaft", False, "out-of-order", "shaft"), ("bolt", False, "out-of-order", "bolt"), ("case", True, None, "case"), ("case", False, "already-placed", "case"), (24.0, None, None, None),
+    ("shaft", True, None, "shaft"), ("pin", True, None, "pin"), ("case", False, "torque-outstanding", "case"), (20.0, False, "wrong-torque", "shaft"), (24.0005, True, "torque-ok", "shaft"),
+    ("bolt", True, None, "bolt"), ("none", False, "no-step", "none"), ("nut", True, None, "nut"),
+]
+SCHEMA = "user string, seq long, kind string, part string, value double, ts double"
+ACTIONS = [("u", n, "torque", "", x, 10.0 + n * n) if isinstance(x, float) else ("u", n, "attempt", x, None, 10.0 + n * n) for n, (x, *_) in enumerate(SAID)]
 
 
 def test_batch_and_stream_agree(spark, tmp_path):
     df = spark.createDataFrame(ACTIONS, SCHEMA)
-    batch = replay(df, STEPS).orderBy("seq").collect()
-    assert [r.ok for r in batch] == WANT
-    assert batch[5].reason == "torque-outstanding" and batch[0].reason == "unmet-dependency"
+    trace = replay(df, STEPS)
+    batch = trace.orderBy("seq").collect()
+    assert [(r.ok, r.reason, r.part) for r in batch] == [tuple(x[1:]) for x in SAID if x[1] is not None]
+    assert [r.hesitation for r in batch][:5] == [0.0, 1.0, 3.0, 5.0, 16.0] and batch[-1]["at"] == 144.0
     for n, part in enumerate((ACTIONS[:4], ACTIONS[4:])):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
@@ -20,3 +26,7 @@ def test_batch_and_stream_agree(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM trace ORDER BY seq").collect()] == [tuple(r) for r in batch]
+    of_part = spark.createDataFrame([("case", "s01", 1, None), ("shaft", "s02", 2, 24.0), ("pin", "s02", 2, 24.0), ("bolt", "s04", 3, None), ("nut", "s04", 3, None)], "part string, step string, size int, torque double")
+    parts = of_part.selectExpr("part AS part_id")
+    assert finished(with_waits(trace, of_part), parts).first()[1:] == (5, True)
+    assert finished(with_waits(trace.where("seq < 9"), of_part), parts).first()[1:] == (3, False)

@@ -57,7 +57,7 @@ def test_library(spark):
     new = spark.createDataFrame([("b-p002", "b", 5, False), ("b-p003", "b", 5, True)], old.schema)
     got = library.upserted(old, new, "b")
     assert [r.id for r in got.collect()] == ["b-p003", "b-p002", "a"]
-    assert [tuple(r) for r in library.manuals(got).collect()] == [("b", 2, 1)]
+    assert [tuple(r) for r in library.manuals(got.selectExpr("*", "-ingested_at AS ord")).collect()] == [(0, -1, "a", 1, 1), (1, -5, "b", 2, 1)]
 
 
 def test_labels(spark):
