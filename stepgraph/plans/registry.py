@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..operators import assembly, checks, extraction, layout, library, pages, procedures, viewer, vocabulary
 from ..sources.adapters import PAGE_STEPS_SQL, RAW_SQL, manual_pages, raw_steps, table
+from ..sources.tables import stored
 from ..streaming import perform
 
 RAW, RAW3 = RAW_SQL.format(number="l_linenumber"), RAW_SQL.format(number="3 * l_linenumber")
@@ -71,7 +72,7 @@ def _graph(spark, d):
 
 
 def _segmented(spark, d):
-    return assembly.segmented(raw_steps(spark, d)).withColumn("parts", F.array("part"))
+    return stored(assembly.segmented(raw_steps(spark, d)).withColumn("parts", F.array("part")), "segmented")
 
 
 def _hosts(steps):

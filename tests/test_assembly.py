@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepgraph.operators import assembly, checks, extraction, pages, viewer, vocabulary
 from stepgraph.operators import library as lib
+from stepgraph.sources.tables import stored
 
 # A one-page job, and the parts of its machine that say what goes onto what. Fixed values.
 JOB = """5.1 Valves
@@ -40,12 +41,11 @@ PARTS = "proc_id string, ord int, part_id string, verified boolean"
 
 def decoded(spark, text):
     page = spark.createDataFrame([("job", 1, text)], "doc_id string, page int, text string")
-    lexicon = vocabulary.lexicon(page, spark.createDataFrame(SEED, vocabulary.SEED))
+    lexicon = stored(vocabulary.lexicon(page, spark.createDataFrame(SEED, vocabulary.SEED)), "lexicon")
     forms = lexicon.select("doc_id", F.explode("forms").alias("form"), "part_id")
     hosts = lexicon.select("doc_id", F.col("part_id").alias("part"), F.explode("attaches_to").alias("host"))
     raw = extraction.steps_of(page).withColumn("pos", F.col("ord").cast("long"))
-    said = vocabulary.mentions(raw, forms, "action")
-    steps = assembly.segmented(said)
+    steps = stored(assembly.segmented(vocabulary.mentions(raw, forms, "action")), "steps")
     located = extraction.located(raw.select("doc_id", "page", F.col("text").alias("quote")), page)
     rows, parts = assembly.spans_of(assembly.step_rows(steps, hosts, ["torque wrench"]), assembly.declared(steps, lexicon), located)
     return assembly.named(steps, F.lit("Top end")), rows.withColumn("proc_id", F.col("doc_id")), parts.withColumn("proc_id", F.col("doc_id"))
