@@ -5,8 +5,10 @@ join each node's neighbours, forward and backward, with each other: a node's gro
 neighbours with their vectors, and what is nearer than a member's farthest neighbour joins that member's list. They go
 on until less than DELTA of the edges are new; edges only get nearer, so that comes. A query
 starts at its own node; each round joins the nodes that it has not opened yet with their neighbours, until its list
-holds nothing unopened. Inner products are compared in a space with one more coordinate that makes all lengths
-equal, so a long vector is no neighbour of all; scores are exact inner products of the vectors as they are.
+holds nothing unopened. The graph compares inner products in a space with one more coordinate that makes all lengths
+equal, so a long vector is no neighbour of all; lengths count up to that of all but the longest thousandth, so an outlier
+doesn't make all others alike, and every search starts from the LONGEST vectors too. The search compares exact inner
+products of the vectors as they are.
 
 Every table is rows of (node, neighbour); groups have a bounded size (NEIGHBOURS, SAMPLE, BLOCK). The pivots are a
 sample that grows with the vectors, so cells keep their size; above FLAT pivots a node looks for its own beneath its
@@ -30,7 +32,8 @@ TOP = 20
 NEIGHBOURS = 24  # of a node in the graph
 SAMPLE = 24  # neighbours of each direction that an iteration joins
 DELTA = 0.005  # iterations end when a smaller share of the graph's edges is new
-NEAR_PIVOTS, BLOCK = 6, 2048
+NEAR_PIVOTS, BLOCK = 6, 256
+LONGEST = 32  # vectors of the greatest length, from which each search starts beside its own node
 FLAT, TOPS = 1024, 8
 BEAM, OPENED = 256, 64  # of a search: nodes kept, nodes opened a round
 
@@ -41,10 +44,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """vec_id and its vector as doubles; null, zero and partly null or non-finite vectors are left out."""
+    """vec_id and its vector as doubles, a repeated row once; null, zero and partly null or non-finite vectors are left
+    out, and those of another length than most have (on a tie the longer)."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", v.alias("v"), fine.alias("fine")).where("fine").select("vec_id", "v")
+    rows = table.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", v.alias("v"), fine.alias("fine")).where("fine").select("vec_id", "v")
+    common = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("k")).orderBy(F.col("k").desc(), F.col("n").desc()).first()
+    return rows.where(F.size("v") == (common["n"] if common else 0)).distinct()
 
 
 def top_rows(rows: DataFrame, by: str, most: int) -> DataFrame:
@@ -59,10 +65,10 @@ def pivots_of(count: int) -> int:
 
 
 class Cells:
-    """The NEAR_PIVOTS nearest pivots of nodes (all, if there are fewer)."""
+    """The NEAR_PIVOTS nearest pivots of nodes (half of them, if there are fewer)."""
 
     def __init__(self, pivots: np.ndarray, flat: int = FLAT):
-        self.pivots, self.near, self.tops = pivots, min(NEAR_PIVOTS, len(pivots)), None
+        self.pivots, self.near, self.tops = pivots, min(NEAR_PIVOTS, -(-len(pivots) // 2)), None
         if len(pivots) > flat:
             head = np.arange(0, len(pivots), int(np.sqrt(len(pivots))))
             self.tops = pivots[head]
@@ -94,7 +100,7 @@ class Cells:
         return row[fine], cell[fine]
 
 
-def first_graph(nodes: DataFrame, pivots: np.ndarray, count: int) -> DataFrame:
+def first_graph(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """node, to, score within blocks of nodes that share one of their nearest pivots."""
     of_pivots = Cells(pivots) if len(pivots) else None
 
@@ -147,10 +153,10 @@ def improved(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEIGHBOURS).drop("r")
 
 
-def neighbour_graph(nodes: DataFrame, pivots: np.ndarray, count: int, delta: float = DELTA) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, pivots: np.ndarray, delta: float = DELTA) -> DataFrame:
     """node, to, score of stored nodes (node, a: unit vector in floats, half: the same in half precision, as bytes)."""
-    graph = stored(first_graph(nodes, pivots, count), "graph")
-    turn, share = 0, float(count > BLOCK)  # one block is exact as it is
+    graph = stored(first_graph(nodes, pivots), "graph")
+    turn, share = 0, 1.0
     while share > delta:
         graph = stored(improved(graph, nodes, turn), "graph")
         share = graph.agg(F.avg(F.col("new").cast("int")).alias("share")).first()["share"] or 0.0
@@ -158,12 +164,12 @@ def neighbour_graph(nodes: DataFrame, pivots: np.ndarray, count: int, delta: flo
     return graph
 
 
-def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, longest: int = LONGEST) -> DataFrame:
     """query, to, score: the best BEAM nodes that a greedy search finds for each query (query, node, v)."""
     # the query's own node opens first
-    links = graph.select(F.col("node").alias("at"), F.col("to"))
-    links = links.unionByName(links.select(F.col("to").alias("at"), F.col("at").alias("to"))).distinct()
-    links = stored(top_links(links), "links")
+    ahead = graph.select(F.col("node").alias("at"), F.col("to"), F.lit(0).alias("back"))
+    both = ahead.unionByName(ahead.select(F.col("to").alias("at"), F.col("at").alias("to"), F.lit(1).alias("back")))
+    links = stored(top_links(both.groupBy("at", "to").agg(F.min("back").alias("back"))), "links")
     vectors = nodes.select(F.col("node").alias("to"), "v")
     asked = queries.select("query", F.col("v").alias("q"))
 
@@ -178,7 +184,9 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFram
         full = pairs.join(asked, "query").join(vectors, "to").select("query", "to", "q", "v")
         return full.mapInArrow(dots, "query long, to long, score double")
 
-    beam = stored(scored(queries.select("query", F.col("node").alias("to"))).withColumn("opened", F.lit(False)), "beam")
+    long = [r["node"] for r in nodes.select("node", "length").orderBy(F.col("length").desc(), "node").limit(longest).collect()]
+    starts = queries.select("query", F.explode(F.array_distinct(F.array("node", *[F.lit(n) for n in long]))).alias("to"))
+    beam = stored(scored(starts).withColumn("opened", F.lit(False)), "beam")
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "to")
     while True:  # what leaves a beam never comes back, so no node opens twice and the rounds end
         turn = beam.where("NOT opened").withColumn("r", F.row_number().over(order)).where(F.col("r") <= OPENED).select("query", F.col("to").alias("at"))
@@ -193,9 +201,10 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def top_links(links: DataFrame, most: int = 2 * NEIGHBOURS) -> DataFrame:
-    """Links in both directions, `most` of a node at most (a hash's choice beyond that), so a hub opens few."""
-    order = W.partitionBy("at").orderBy(F.xxhash64("at", "to"))
-    return links.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+    """Links (at, to, back), `most` of a node at most: its own neighbours all, then of those whose neighbour it is some by
+    a hash, so a hub opens few; each of these still has it as its own neighbour."""
+    order = W.partitionBy("at").orderBy("back", F.xxhash64("at", "to"))
+    return links.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("at", "to")
 
 
 def nearest(table: DataFrame, is_query, top: int = TOP) -> DataFrame:
@@ -203,32 +212,35 @@ def nearest(table: DataFrame, is_query, top: int = TOP) -> DataFrame:
     for which is_query(vec_id) holds, among all rows but the query's own.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id. Null, zero and partly null or
-    non-finite vectors and null ids take no part; an empty table gives no rows. Equal vectors under several ids are
-    found together; a repeated id keeps each of its vectors. All vectors must have one length.
+    non-finite vectors, null ids and vectors of another length than most take no part; an empty table gives no rows.
+    Equal vectors under several ids are found together. A repeated row counts once; an id with several vectors comes
+    with the best of them, and asks with the least (as an array).
     """
     rows = stored(valid_vectors(table).withColumn("node", F.xxhash64("v")), "vectors")
     # of ids with equal vectors the first top + 1 can matter; Spark drops others before it shuffles
     ids = rows.select("node", "vec_id").withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= top + 1).drop("r")
     one = rows.groupBy("node").agg(F.first("v").alias("v"))
-    size = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()["m"]
-    longest = float(np.sqrt(size)) if size else 1.0
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    scale = float(rows.agg(F.percentile_approx(length, 0.999, 10_000).alias("m")).first()["m"] or 1.0)
 
     def unit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             v = _matrix(batch.column(1))
             if len(v):
-                x = v / longest
+                n = np.linalg.norm(v, axis=1)
+                x = v / np.maximum(n, scale)[:, None]
                 x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32())), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["node", "v", "a", "half"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32())), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(n)], ["node", "v", "a", "half", "length"])
 
-    nodes = stored(one.mapInArrow(unit, "node long, v array<double>, a array<float>, half binary"), "nodes")
+    nodes = stored(one.mapInArrow(unit, "node long, v array<double>, a array<float>, half binary, length double"), "nodes")
     count = nodes.count()
     sample = nodes.orderBy(F.xxhash64("node")).select("a").limit(pivots_of(count)).collect()
     pivots = np.array([r["a"] for r in sample], np.float32)
-    graph = neighbour_graph(nodes, pivots, count)
-    queries = stored(rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query"), "node", "v").dropDuplicates(["query", "node"]), "queries")
-    found = searched(queries.dropDuplicates(["query"]), graph, nodes)
-    named = found.join(ids.select(F.col("node").alias("to"), "vec_id"), "to").where("vec_id <> query")
+    graph = neighbour_graph(nodes, pivots)
+    asks = rows.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query")).agg(F.min("v").alias("v"))
+    queries = stored(asks.select("query", F.xxhash64("v").alias("node"), "v"), "queries")
+    found = searched(queries, graph, nodes)
+    named = found.join(ids.select(F.col("node").alias("to"), "vec_id"), "to").where("vec_id <> query").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
 
