@@ -15,6 +15,7 @@ from .common import read
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"  # turn marks of the rendered text
 TRAINED_ROLES = ("assistant",)
+WORDLESS = "..."
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -64,17 +65,24 @@ def preferences(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 def alternatives(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations and pairs for a table that has no rejected side of its own.
 
-    For each conversation a second one is made, which answers the same first turns and then goes on as the
-    conversation with the next id of the same parity does not: its last turn is dropped from the copy, and the
-    turns of its neighbour (conv_id with the lowest bit flipped) that have that number or a later one follow.
+    A conversation's rejected side has the same turns up to its last answer (turn of a trained role) and another answer
+    there: that of the conversation whose conv_id differs in the lowest bit, if that one has another; else the first
+    half of its own, and WORDLESS for an empty one. So both sides have a completion with an answer, and what comes
+    before is their prompt. A conversation without answers is paired with itself and is all prompt. Sides are told
+    apart by a letter before the id, so no two ids clash; the pair has the conversation's own id.
     """
     turns = turns_of(conversations)
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    kept = turns.join(last, "conv_id").where(F.col("turn") < F.col("last")).select((-F.col("conv_id") - 1).alias("conv_id"), "turn", "role", "text")
-    other = turns.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "turn", "role", "text").join(last, "conv_id")
-    other = other.where(F.col("turn") >= F.col("last")).select((-F.col("conv_id") - 1).alias("conv_id"), "turn", "role", "text")
-    pairs = last.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), (-F.col("conv_id") - 1).alias("rejected_id"))
-    return turns.unionByName(kept).unionByName(other), pairs
+    answer = F.col("role").isin(*TRAINED_ROLES)
+    last = turns.groupBy("conv_id").agg(F.max(F.when(answer, F.struct("turn", "role", "text"))).alias("own"))
+    answers = last.where("own IS NOT NULL")
+    other = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own.text").alias("another"))
+    text = F.col("own.text")
+    half = F.when(text != "", F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))).otherwise(F.lit(WORDLESS))
+    given = answers.join(other, "conv_id", "left").select("conv_id", "own.turn", "own.role", F.when(F.col("another") != text, F.col("another")).otherwise(half).alias("text"))
+    before = turns.join(last, "conv_id").where("own IS NULL OR turn < own.turn").select("conv_id", "turn", "role", "text")
+    side = lambda rows, mark: rows.withColumn("conv_id", F.concat(F.lit(mark), F.col("conv_id").cast("string")))
+    pairs = last.select(F.col("conv_id").alias("pair_id"), *[F.concat(F.lit(m), F.col("conv_id").cast("string")).alias(c) for m, c in (("c", "chosen_id"), ("r", "rejected_id"))])
+    return side(turns, "c").unionByName(side(before.unionByName(given), "r")), pairs
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +93,11 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH turns AS (SELECT conv_id, turn, min(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))) AS said
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-lasts AS (SELECT conv_id, max(turn) AS last FROM turns GROUP BY conv_id),
-rejected AS (SELECT t.conv_id, t.turn, t.said FROM turns t JOIN lasts l USING (conv_id) WHERE t.turn < l.last
-  UNION ALL SELECT l.conv_id, t.turn, t.said FROM turns t JOIN lasts l ON l.conv_id = xor(t.conv_id, 1) WHERE t.turn >= l.last),
+lasts AS (SELECT conv_id, max(turn) FILTER (WHERE said.role = 'assistant') AS last FROM turns GROUP BY conv_id),
+answers AS (SELECT t.conv_id, t.turn, t.said.text AS text FROM turns t JOIN lasts l ON t.conv_id = l.conv_id AND t.turn = l.last),
+given AS (SELECT a.conv_id, a.turn, CASE WHEN o.text <> a.text THEN o.text WHEN a.text <> '' THEN left(a.text, length(a.text) // 2) ELSE '...' END AS text FROM answers a LEFT JOIN answers o ON o.conv_id = xor(a.conv_id, 1)),
+rejected AS (SELECT t.conv_id, t.turn, t.said FROM turns t JOIN lasts l USING (conv_id) WHERE l.last IS NULL OR t.turn < l.last
+  UNION ALL SELECT conv_id, turn, struct_pack(role := 'assistant', text := text) FROM given),
 both_sides AS (SELECT coalesce(c.conv_id, r.conv_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, c.said AS chosen, r.said AS rejected
   FROM turns c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.turn = r.turn),
 splits AS (SELECT pair_id, min(turn) FILTER (WHERE chosen IS DISTINCT FROM rejected) AS split FROM both_sides GROUP BY pair_id),
