@@ -4,7 +4,8 @@ Windows of eight words are hashed under fixed masks that ignore some of the posi
 words under masks of their own length); equal hashes
 join documents with benchmark items, and each hit is verified by comparing all words around it at that alignment,
 so substituted words are tolerated. Positions are exploded and hashed inside whole-stage code and probed against
-the benchmark's seeds; these are broadcast if their measured size is within MOST_BROADCAST, else the join shuffles.
+the benchmark's seeds, then hits against the texts again; either is broadcast if its measured size is within
+MOST_BROADCAST, else the join shuffles.
 Only column functions and joins are used.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 # Masks over SPAN words; 1 counts, 0 is ignored.
 SQL_MASKS = ("11011010", "10110011", "11100101", "10011110")  # the SQL's; they lose some items of 8, 10 and 11 words
@@ -22,7 +23,8 @@ SPAN = 8
 SPACELESS = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 WINDOW = 13  # words of an overlap
 SHARE = 0.8  # of a window's words that must be equal
-MOST_BROADCAST = 32 << 20  # bytes of benchmark seeds
+MOST_BROADCAST = 32 << 20  # bytes of benchmark seeds, or of hits
+BLOCK = 128  # window starts of a text that are taken together
 
 
 def words(text: Column) -> Column:
@@ -47,12 +49,24 @@ def seeds_at(h: Column, i: Column, masks: tuple[str, ...]) -> Column:
 
 
 def windows(df: DataFrame, masks: tuple[str, ...], over: bool = False) -> DataFrame:
-    """df with array h -> one row for each window's start i and mask's seed. over: ignored words may lie outside."""
+    """df (row and array h) -> row, i, seed: each window's start and mask's hash. over: ignored words may lie outside.
+
+    A text comes as blocks of BLOCK window starts with the words that these reach, so that a row holds a block's words
+    and not the whole text's, however long that is.
+    """
     before = max(m.index("1") for m in masks) if over else 0
+    reach = max(len(m) for m in masks)
     last = F.size("h") - F.lit(min(m.rindex("1") + 1 if over else len(m) for m in masks))
-    starts = F.when(last >= -before, F.sequence(F.lit(-before), last))
-    at = df.withColumn("i", F.explode(starts))
-    return at.withColumn("seed", F.explode(seeds_at(F.col("h"), F.col("i"), masks)))
+    blocks = F.when(last >= -before, F.sequence(F.lit(-before), last, F.lit(BLOCK)))
+    at = df.select("row", "h", F.explode(blocks).alias("s"), last.alias("last")).withColumn("off", F.greatest("s", F.lit(0)))
+    at = at.select("row", "s", "last", "off", F.slice("h", F.col("off") + 1, F.lit(BLOCK + reach + before)).alias("h"))
+    each = at.select("row", "off", "h", F.explode(F.sequence(F.col("s"), F.least(F.col("s") + BLOCK - 1, "last"))).alias("i"))
+    return each.select("row", "i", F.explode(seeds_at(F.col("h"), F.col("i") - F.col("off"), masks)).alias("seed"))
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """A stored table of whole numbers, to be broadcast if its measured size is within MOST_BROADCAST."""
+    return F.broadcast(rows) if rows.count() * 32 <= MOST_BROADCAST else rows
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -77,24 +91,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Data
 
 def found_in(docs: DataFrame, benchmark: DataFrame, key: str, by_letter: bool) -> DataFrame:
     """overlaps() with one way to take words."""
-    items = benchmark.select("item_id", hashes(F.col("text"), by_letter).alias("h")).withColumn("item_row", F.xxhash64("item_id", F.col("item_id").isNull(), "h"))
+    items = benchmark.select("item_id", hashes(F.col("text"), by_letter).alias("h")).withColumn("row", F.xxhash64("item_id", F.col("item_id").isNull(), "h")).dropDuplicates(["row"])
     lengths = sorted(r["n"] for r in items.select(F.size("h").alias("n")).where(f"n > 0 AND n < {SPAN}").distinct().collect())
     windowed = windows(items, MASKS)
     for n in lengths:
         windowed = windowed.unionByName(windows(items.where(F.size("h") == n), short_masks(n)))
     masks = MASKS + tuple(m for n in lengths for m in short_masks(n))
-    seeds = windowed.select("seed", "item_id", "item_row", F.col("i").alias("q"), F.col("h").alias("item")).dropDuplicates(["seed", "item_row", "q"])
-    bytes_ = seeds.agg(F.sum(F.size("item") * 8 + 64).alias("n")).first()["n"] or 0
-    if bytes_ <= MOST_BROADCAST:
-        seeds = F.broadcast(seeds)
+    seeds = checked(stored(windowed.select("seed", F.col("row").alias("item_row"), F.col("i").alias("q")).distinct(), "seeds"))
     texts = docs.select(F.col(key).alias("key"), hashes(F.col("text"), by_letter).alias("h")).withColumn("row", F.xxhash64("key", F.col("key").isNull(), "h"))
     spots = windows(texts, masks, over=True)
-    hits = spots.join(seeds, "seed").select("key", "row", "item_id", "item_row", (F.col("i") - F.col("q")).alias("start"), "h", "item")
+    hits = stored(spots.join(seeds, "seed").select("row", "item_row", (F.col("i") - F.col("q")).alias("start")).distinct(), "hits")
+    # the texts and items that were hit, with all their words; equal rows under one key are one row
+    held = checked(hits)
+    both = texts.join(held, "row").join(items.select(F.col("row").alias("item_row"), "item_id", F.col("h").alias("item")), "item_row")
     # the document's words at this alignment; get() is null outside of the text
     aligned = F.transform(F.sequence(F.lit(0), F.size("item") - 1), lambda j: F.coalesce((F.col("start") + j >= 0) & (F.get("h", F.greatest(F.col("start") + j, F.lit(0))) == F.get("item", j)), F.lit(False)))
-    # one text at one alignment has one array; rows are pooled by key and item_id once each is verified
-    hits = hits.select("key", "row", "item_id", "item_row", "start", aligned.alias("equal"))
-    once = hits.groupBy("key", "row", "item_id", "item_row", "start").agg(F.first("equal").alias("equal"))
+    once = both.select("key", "item_id", "start", aligned.alias("equal"))
     width = F.least(F.lit(WINDOW), F.size("equal"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda j: F.size(F.filter(F.slice("equal", j, width), lambda x: x))))
     sure = once.where(best >= F.ceil(width * F.lit(SHARE) - 1e-9)).select("key", "item_id", "start", F.size(F.filter("equal", lambda x: x)).cast("long").alias("n_equal"))
