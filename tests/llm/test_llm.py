@@ -59,12 +59,33 @@ def test_preference(spark):
     assert got[7, "chosen", 1] == ("<|im_start|>assistant\nyes<|im_end|>\n", True, 1) and not got[8, "prompt", 1][1]
 
 
+def test_every_pair_has_both_sides(spark):
+    said = [(i, t, r, x) for i in (-1, 0, 1, 6) for t, r, x in ((0, "user", "q"), (1, "assistant", f"yes {i}"), (2, "user", "q2"), (3, "assistant", "same" if i < 2 else "odd one"), (4, "user", "bye"))]
+    said += [(8, 0, "user", "hello"), (10, 0, "assistant", ""), (12, 0, "user", None), (12, 1, "assistant", "twelve")]
+    turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    got = op3_preference.preferences(*op3_preference.alternatives(turns)).collect()
+    for i in (-1, 0, 1, 6, 10, 12):
+        own = [r for r in got if r.pair_id == i]
+        assert {r.part for r in own if r.train} == {"chosen", "rejected"}
+        assert [r.rendered for r in sorted(own, key=lambda r: r.turn) if r.part in ("prompt", "chosen")] == [f"<|im_start|>{r}\n{x or ''}<|im_end|>\n" for j, _, r, x in said if j == i]
+    assert {(r.part, r.n_prompt) for r in got if r.pair_id == 8} == {("prompt", 1)}
+    assert [r.rendered for r in got if r.pair_id == 0 and r.part == "rejected"] == ["<|im_start|>assistant\nsa<|im_end|>\n"]
+    empty = op3_preference.alternatives(turns.where("conv_id > 99"))
+    assert op3_preference.preferences(*empty).count() == 0
+
+
 def test_near(odd, none):
     got = op4_near.near_duplicates(odd.where("doc_id IS NOT NULL")).select("doc_id", "n_shingles", "component_id").distinct().collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == op4_near.plain([(i, t) for i, t, _ in ODD if i is not None])
     assert op4_near.near_duplicates(none).count() == 0
 
 
+def test_repeats_on_table(spark):
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op2_repeat_removal"](spark, SF).collect()}
+    assert got == {i: w for (i, _), w in zip(docs, op2_repeats.plain([t for _, t in docs]), strict=True)}
+
+
 def test_near_on_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op4_near_duplicates"](spark, SF).collect()}
@@ -107,7 +128,11 @@ def test_secrets(spark, odd, none):
     for i, t in docs:
         found = sorted((m.start(), n, k, m.end()) for n, (k, p, g, least) in enumerate(patterns) for m in p.finditer(t) if len(m[g]) >= least)
         want[i] = hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in found).encode()).hexdigest()
-    assert {r.doc_id: r.base_sha256 for r in QUERIES["op6_secret_scan"](spark, SF).collect()} == want
+    found = QUERIES["op6_secret_scan"](spark, SF).collect()
+    assert {r.doc_id: r.base_sha256 for r in found} == want
+    for r in found:
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert [sum(k == n for k, *_ in spans) for n in ("assign", "access", "hex")] == [r.n_assign, r.n_access, r.n_hex]
     assert {r.doc_id: len(r.spans) for r in op6_secret.secrets(odd).collect()}[None] == 1
     assert op6_secret.redacted(odd).where("text LIKE '%[SECRET]%'").count() == 1 and op6_secret.redacted(none).count() == 0
 
@@ -134,6 +159,18 @@ def test_decontaminate(spark, odd, none):
     assert op9_decontaminate.overlaps(odd, bench).count() == 0 and op9_decontaminate.overlaps(none, bench).count() == 0
 
 
+def test_decontaminate_by_shuffle(spark, monkeypatch):
+    """The same rows where the seeds are too many to broadcast."""
+    want = {tuple(r) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
+    monkeypatch.setattr(op9_decontaminate, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(op9_decontaminate.F, "broadcast", lambda df: pytest.fail("broadcast"))
+    assert want and {tuple(r) for r in QUERIES["op9_decontaminate"](spark, SF).collect()} == want
+    item = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, "x " * 100_000 + item + " y" * 50_000, "s"), (2, "x " * 3 + item, "s")], SCHEMA)
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert sorted(tuple(r) for r in op9_decontaminate.overlaps(docs, bench).collect()) == [(1, 9, 400, 100_000), (2, 9, 400, 3)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     data = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(200)] + [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (203, [1.0] * 8), (204, [1.0] * 8)]
@@ -150,6 +187,22 @@ def test_neighbours(spark):
     assert op10_neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_by_descent(spark):
+    """Several cells and iterations, one vector 10,000 times longer, repeated rows and ids, one of another length."""
+    x = np.random.default_rng(2).normal(size=(1200, 24))
+    x[7] *= 10_000
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (8, x[9].tolist()), (1300, [1.0, 2.0])]
+    got = op10_neighbours.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")), lambda i: i % 20 == 0).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[8] = max(s[8], x[9] @ x[q])
+        s[q] = -np.inf
+        assert g.vec_id.is_unique and np.allclose(g.sort_values("rank").score, s[g.sort_values("rank").vec_id])
+        hit += len(set(np.lexsort([np.arange(1200), -s])[:20]) & set(g.vec_id))
+    assert len(got) == 60 * 20 and hit / len(got) >= 0.95
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -229,10 +282,10 @@ def test_whole_licences(spark, text, want):
 
 def test_search_goes_on_until_nothing_is_unopened(spark):
     far = 12  # a chain: each node knows the next one only, which is nearer to the query
-    nodes = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(far)], "node long, v array<double>")
+    nodes = spark.createDataFrame([(i, [float(i + 1), 1.0], float(i)) for i in range(far)], "node long, v array<double>, length double")
     graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(far - 1)], "node long, to long, score double")
     query = spark.createDataFrame([(0, 0, [1.0, 1.0])], "query long, node long, v array<double>")
-    assert {r.to for r in op10_neighbours.searched(query, graph, nodes).collect()} == set(range(far))
+    assert {r.to for r in op10_neighbours.searched(query, graph, nodes, longest=0).collect()} == set(range(far))
 
 
 def test_graph_goes_on_until_few_edges_change(spark, monkeypatch):
@@ -245,7 +298,7 @@ def test_graph_goes_on_until_few_edges_change(spark, monkeypatch):
     graph = spark.createDataFrame([(1, 2, 0.5)], "node long, to long, score float")
     monkeypatch.setattr(op10_neighbours, "first_graph", lambda *_: graph)
     monkeypatch.setattr(op10_neighbours, "improved", improved)
-    op10_neighbours.neighbour_graph(None, np.zeros((1, 2)), op10_neighbours.BLOCK + 1)
+    op10_neighbours.neighbour_graph(None, np.zeros((1, 2)))
     assert turns == list(range(7))
 
 
