@@ -31,8 +31,8 @@ from .common import read, stored
 TOP = 20
 NEIGHBOURS = 24  # of a node in the graph
 SAMPLE = 24  # neighbours of each direction that an iteration joins
-DELTA = 0.005  # iterations end when a smaller share of the graph's edges is new
-NEAR_PIVOTS, BLOCK = 6, 256
+DELTA = 0.02  # iterations end when a smaller share of the graph's edges is new
+NEAR_PIVOTS, BLOCK = 6, 512
 LONGEST = 32  # vectors of the greatest length, from which each search starts beside its own node
 FLAT, TOPS = 1024, 8
 BEAM, OPENED = 256, 64  # of a search: nodes kept, nodes opened a round
