@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_batches, lowered, pieces, read, word_hashes, words_of
 
@@ -193,6 +194,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Additive:
     return fitted(x[order], rows["y"].to_numpy()[order].astype(float))
 
 
+def with_score(docs: DataFrame, model: Additive, name: str, text: str = "text") -> DataFrame:
+    """docs with all their columns and the score (0 to 1) in a further one, whose name they must lack. A null text counts
+    as empty; repeated rows give repeated scores; other columns are never read; an empty table stays empty."""
+    bounded_batches(docs.sparkSession)
+    where = docs.columns.index(text)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for a, b, data, offsets in pieces(batch.column(where)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(data, offsets)))], [*part.schema.names, name])
+
+    return docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
 def scored(docs: DataFrame, model: Additive, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score (0 to 1) of each row. A null text counts as empty; repeated rows give repeated scores; ids,
     labels and other columns are never read."""

@@ -58,15 +58,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return found.select("source", "source_size", F.least(share, F.col("_full").cast("double")).alias("target"))
 
 
-def mixed(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS) -> DataFrame:
-    """items (doc_id, source, size, key: the sampling key) -> doc_id, source, size, source_size, target, taken.
+def mixed(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """items (doc_id, source, size, key: the sampling key) -> doc_id, source, size, source_size, target, taken, and the
+    columns of items named in carry.
 
     taken counts words: each complete epoch takes the whole document, the last, partial one takes documents in order
     of (key, doc_id, size) until round(target) words are full; the document on the edge gives its first words only.
     So a source takes its target to the word. A null source is a source of its own; size 0 takes 0; repeated rows
     count as documents of their own, and equal ones may swap their results. Empty input gives an empty result.
     """
-    held = items.select("doc_id", "source", "size", "key").withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+    held = items.select("doc_id", "source", "size", "key", *carry).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
     held = stored(held, "mix")
     sums = held.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sizes = sums.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -80,11 +81,25 @@ def mixed(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") + 0.5) - epochs * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(rest - before, F.lit(0)))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
-def items_of(docs: DataFrame, seed: int = 0) -> DataFrame:
-    return docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("key"))
+def items_of(docs: DataFrame, seed: int = 0, weight: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs (doc_id, source, text) as mixed() takes them. weight: of a document's quality, above 0; quality_weight() of its
+    text if none is given."""
+    weight = quality_weight(F.col("text")) if weight is None else weight
+    return docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"), *carry)
+
+
+def with_copies(mix: DataFrame) -> DataFrame:
+    """Rows of mixed() that carry text, as a writer needs them: copies (how many times the whole text is taken), rest (the
+    first words of a copy that is cut, with the white space between them; null if none is) and text (null without a whole
+    copy). Null and empty texts give 0 copies and no rest."""
+    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rest = F.when(part > 0, F.array_join(F.slice(words, F.lit(1), part.cast("int")), ""))
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    return mix.withColumns({"copies": copies, "rest": rest}).withColumn("text", F.when(F.col("copies") > 0, F.col("text")))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
