@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stepgraph.llm import op4_near, op5_quality, op6_secret, op8_mix, op9_decontaminate
 from stepgraph.llm.common import read, stored
 
+LEAST_WEIGHT = 0.1  # of a document in the mix
 SHINGLE = 5  # words; the near-duplicate query's contract has 4 for itself alone
 
 
@@ -52,8 +53,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each document: how many of its words the mix takes."""
-    return op8_mix.mixed(op8_mix.items_of(docs)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The mix, drawn by the classifier's scores as weights: doc_id, source, size, source_size, target, taken (words the mix
+    takes), text, copies (of the whole text) and rest (first words of a cut copy) of each document."""
+    model = op5_quality.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    own = op5_quality.with_score(docs.select("doc_id", "source", "text"), model, "weight")
+    items = op8_mix.items_of(own, weight=F.greatest("weight", F.lit(LEAST_WEIGHT)), carry=("text",))
+    return op8_mix.with_copies(op8_mix.mixed(items, carry=("text",)))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mix", mix)]
