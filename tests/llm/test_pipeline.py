@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version, on whole small tables and on odd rows."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -98,6 +99,7 @@ def test_secrets(spark):
 def test_mix(spark, docs):
     got = corpus_pipeline.mix(spark, docs, SF).toPandas()
     rows = {r.doc_id: (r.source, len(WORD.findall(r.text or ""))) for r in docs.collect()}
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
     sizes = {}
     for source, n in rows.values():
         sizes[source] = sizes.get(source, 0) + n
@@ -115,8 +117,18 @@ def test_mix(spark, docs):
     for r in got.itertuples():
         source, n = rows[r.doc_id]
         assert r.size == n and abs(r.target - target[source]) < 1e-6 and r.taken <= 3 * n
+        rest = "" if r.rest is None else r.rest
+        assert r.taken == r.copies * n + len(WORD.findall(rest)) and text[r.doc_id].startswith(rest) and r.text == (text[r.doc_id] if r.copies else None)
     for source, g in got.groupby("source", dropna=False):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5 + 1e-6
+        assert g.rest.notna().sum() <= 1
+    # within a source, the documents with the smallest keys are taken more often, by the classifier's own scores
+    weight = {r.doc_id: max(r.score, corpus_pipeline.LEAST_WEIGHT) for r in op5_quality.scored(docs, op5_quality.train(docs, read(spark, SF, "labels"))).collect()}
+    draw = lambda i: (int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:13], 16) + 1) / ((1 << 52) + 1)
+    got["key"] = [-np.log(draw(i)) / weight[i] for i in got.doc_id]
+    for _, g in got[got["size"] > 0].groupby("source", dropna=False):
+        share = (g.taken / g["size"]).to_numpy()[np.argsort(g.key.to_numpy(), kind="stable")]
+        assert (np.diff(share) <= 1e-9).all()
 
 
 @pytest.mark.parametrize("stage", range(5))
@@ -134,4 +146,4 @@ def test_odd_rows(spark, odd, stage):
 
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
-    assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and 0 < got.count() < 200
+    assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken", "text", "copies", "rest"] and 0 < got.count() < 200
