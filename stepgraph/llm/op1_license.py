@@ -111,8 +111,24 @@ WHOLE_RULES = (
     *RULES,
 )
 
-#: A sentence ends at a line break, or at . ! ? ; or : before white space or the end of the text.
-BREAK = r"[\r\n]+|[.!?;:]+(?:[ \t\r\n]+|$)"
+#: A sentence ends at a line break, or at . ! ? ; or : before white space or the end of the text; a run of marks is
+#: looked at once.
+BREAK = r"[\r\n]+|(?<![.!?;:])[.!?;:]++(?:[ \t\r\n]++|$)"
+
+
+#: From a lower-case text to words with P for blank lines and L for other breaks, step by step; each step takes time in
+#: proportion to the text, whatever it repeats.
+TO_BREAKS = (
+    (r"\r\n?", "\n"),
+    (r"\n[^a-z0-9\n]*\n", " P "),
+    (r"\n+|[.!?;:]([ \t\n]|\z)", " L "),
+    (r"[^a-z0-9PL]+", " "),
+    (r"L[L ]*", "L"),
+    (r"P[PL ]*", "P"),
+    (r" ?L? ?P", "P"),
+    (r" ?L", "L"),
+    (r"^ | \z", ""),
+)
 
 
 def normalised(text: Column) -> Column:
@@ -129,17 +145,18 @@ def known_in_whole(text: Column, sentences: dict[str, str]) -> Column:
     """
     if not sentences:
         return F.array().cast("array<string>")
-    # lower-case text has no capitals: P stands for blank lines, L for other breaks
-    plain = F.regexp_replace(F.lower(text), r"(?>\r\n|\r|\n)(?:[^a-z0-9\r\n]*(?>\r\n|\r|\n))+", " P ")
-    plain = F.regexp_replace(plain, BREAK, " L ")
-    plain = F.trim(F.regexp_replace(plain, "[^a-z0-9PL]+", " "))
-    plain = F.regexp_replace(F.regexp_replace(plain, "[L ]*P[PL ]*", "P"), " *L[L ]*", "L")
-    longest = sorted(sentences, key=lambda s: (-len(s), s))
-    some = "|".join(s.replace(" ", "[ L]") for s in longest)
+    plain = F.lower(text)
+    for pattern, by in TO_BREAKS:
+        plain = F.regexp_replace(plain, pattern, by)
+    some = "|".join(s.replace(" ", "[ L]") for s in _longest(sentences))
     found = F.regexp_extract_all(plain, F.lit(f"(?<![a-z0-9 ])(?:[0-9a-z] )?({some})(?![a-z0-9 ])"), 1)
     return F.coalesce(F.transform(found, lambda s: F.replace(s, F.lit("L"), F.lit(" "))), F.array().cast("array<string>"))
 
 
+def _longest(sentences: dict[str, str]) -> list[str]:
+    return sorted(sentences, key=lambda s: (-len(s), s))
+
+
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules=None, whole: bool = False) -> DataFrame:
     """docs with what the rules recognise.
 
@@ -149,7 +166,7 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     the four names are replaced. Identifiers follow each other when no other known sentence stands between them.
 
     whole: known sentences may go on over line breaks and over ; and : (known_in_whole), and full licence texts are
-    known; n_sentences stays the number of pieces between breaks. The query's SQL fixes the other form.
+    known; n_sentences stays the number of pieces between breaks. The query scans so.
     """
     if sentences is None:
         sentences = WHOLE_SENTENCES if whole else SENTENCES
@@ -176,31 +193,32 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document: doc_id, n_sentences, sentence_ids and licenses (comma-joined), n_unmatched."""
-    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_unmatched")
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
-    left, names = "coalesce(string_agg(',' || k.id || ',', '' ORDER BY s.pos), '')", []
-    steps = [f"SELECT doc_id, n_sentences, sentence_ids, {left} AS l0 FROM agg0"]
-    for n, (name, ids) in enumerate(RULES):
-        want = "".join(f",{i}," for i in ids)
-        names.append(f"CASE WHEN contains(l{n}, '{want}') THEN '{name}' END")
+    known = ", ".join(f"('{s}', '{i}')" for s, i in WHOLE_SENTENCES.items())
+    plain = "lower(coalesce(text, ''))"
+    for pattern, by in TO_BREAKS:
+        plain = f"regexp_replace({plain}, E'{pattern.replace(chr(92), chr(92) * 2)}', E'{by.replace(chr(10), chr(92) + 'n')}', 'g')"
+    # each break stands twice, so that one ends a sentence and one begins the next
+    some = "|".join(s.replace(" ", "(?: |LL)") for s in _longest(WHOLE_SENTENCES))
     ctes = ["r0 AS (SELECT doc_id, n_sentences, sentence_ids, l0, [] :: VARCHAR[] AS found FROM ids)"]
-    for n, (name, ids) in enumerate(RULES):
+    for n, (name, ids) in enumerate(WHOLE_RULES):
         want = "".join(f",{i}," for i in ids)
         ctes.append(f"r{n + 1} AS (SELECT doc_id, n_sentences, sentence_ids, replace(l{n}, '{want}', '|') AS l{n + 1}, CASE WHEN contains(l{n}, '{want}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM r{n})")
-    last = len(RULES)
+    last = len(WHOLE_RULES)
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-cut AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[\\r\\n]+|[.!?;:]+(?:[ \\t\\r\\n]+|$)') AS parts FROM documents),
-sent AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-norm AS (SELECT doc_id, pos, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS s FROM sent),
-ids AS (SELECT n.doc_id, count(*) FILTER (WHERE length(n.s) > 0) AS n_sentences,
-  coalesce(string_agg(k.id, ',' ORDER BY n.pos) FILTER (WHERE k.id IS NOT NULL), '') AS sentence_ids,
-  coalesce(string_agg(',' || k.id || ',', '' ORDER BY n.pos) FILTER (WHERE k.id IS NOT NULL), '') AS l0
-  FROM norm n LEFT JOIN known k ON n.s = k.sentence GROUP BY n.doc_id),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+cut AS (SELECT rid, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\\r\\n]+|[.!?;:]+(?:[ \\t\\r\\n]+|$)')) AS part FROM docs),
+norm AS (SELECT rid, count(*) FILTER (WHERE length(trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g'))) > 0) AS n_sentences FROM cut GROUP BY rid),
+marked AS (SELECT rid, 'L' || regexp_replace({plain}, '([PL])', '\\1\\1', 'g') || 'L' AS plain FROM docs),
+hits AS (SELECT rid, regexp_extract_all(plain, '[PL](?:[0-9a-z] )?({some})[PL]', 1) AS hits FROM marked),
+hit AS (SELECT rid, replace(unnest(hits), 'LL', ' ') AS s, generate_subscripts(hits, 1) AS pos FROM hits),
+found AS (SELECT rid, string_agg(k.id, ',' ORDER BY pos) AS sentence_ids, string_agg(',' || k.id || ',', '' ORDER BY pos) AS l0 FROM hit JOIN known k ON s = k.sentence GROUP BY rid),
+ids AS (SELECT doc_id, n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(l0, '') AS l0 FROM docs JOIN norm USING (rid) LEFT JOIN found USING (rid)),
 {", ".join(ctes)}
 SELECT doc_id, n_sentences, sentence_ids, array_to_string(found, ',') AS licenses,
   CAST(len(regexp_extract_all(l{last}, ',[A-Za-z0-9]+,')) AS BIGINT) AS n_unmatched FROM r{last}"""

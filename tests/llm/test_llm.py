@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from compare import oracle, rows
@@ -280,6 +281,18 @@ def test_whole_licences(spark, text, want):
     assert got[:3] == [([want], 0), ([want], 0), ([], 0)] and (want not in got[3][0])
 
 
+def test_licence_sql_on_whole_licences(spark, tmp_path):
+    """The query and its SQL on wrapped licences, broken words, marks without end and odd rows."""
+    texts = [MIT, APACHE, MPL, GPL.format(":", ",", 3), GPL.format(";", ";", 2), f"a\n\n{MIT}\n\n{APACHE}", MIT.replace("\n", "\r\n"), MIT.replace("\n", "\n\n"), MIT.replace(". ", " "), "Licensed under the MIT License. All rights reserved", "1 Licensed under the MIT License; b) all rights reserved...\r\r# - x", None, "", "P L", "." * 200_000 + "x", "\n" * 200_000, ". " * 100_000, "; :\n" * 50_000 + MIT, "all rights reserved\n" * 3]
+    docs = spark.createDataFrame([(k if k != 3 else None, t, "s") for k, t in enumerate(texts)] + [(0, MIT, "s")], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = rows(QUERIES["op1_license_scan"](spark, str(tmp_path)).toPandas())
+    assert got == rows(con.sql(ORACLE_SQL["op1_license_scan"]).df()) and sum("'MIT'" in r for r in got) == 5
+
+
+
 def test_search_goes_on_until_nothing_is_unopened(spark):
     far = 12  # a chain: each node knows the next one only, which is nearer to the query
     nodes = spark.createDataFrame([(i, [float(i + 1), 1.0], float(i)) for i in range(far)], "node long, v array<double>, length double")
