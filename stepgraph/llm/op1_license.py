@@ -8,6 +8,9 @@ Python, and a hot source or a repeated text costs no more than any other row.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,7 +153,22 @@ def known_in_whole(text: Column, sentences: dict[str, str]) -> Column:
         plain = F.regexp_replace(plain, pattern, by)
     some = "|".join(s.replace(" ", "[ L]") for s in _longest(sentences))
     found = F.regexp_extract_all(plain, F.lit(f"(?<![a-z0-9 ])(?:[0-9a-z] )?({some})(?![a-z0-9 ])"), 1)
-    return F.coalesce(F.transform(found, lambda s: F.replace(s, F.lit("L"), F.lit(" "))), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    known = F.coalesce(F.transform(found, lambda s: F.replace(s, F.lit("L"), F.lit(" "))), none)
+    # a text that lacks all of these words holds no known sentence
+    lower = F.lower(text)
+    some_word = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in words_of_all(sentences)])
+    return F.when(some_word, known).otherwise(none)
+
+
+def words_of_all(sentences: dict[str, str]) -> list[str]:
+    """Some long words of which every sentence holds one: again and again the word that most of the others hold."""
+    left, out = [{w for w in s.split() if len(w) >= min(7, max(map(len, s.split())))} for s in sentences], []
+    while left:
+        counts = Counter(w for s in left for w in s)
+        out.append(max(counts, key=lambda w: (counts[w], len(w), w)))
+        left = [s for s in left if out[-1] not in s]
+    return out
 
 
 def _longest(sentences: dict[str, str]) -> list[str]:
