@@ -8,7 +8,7 @@ from ..functions import fields
 from ..operators import assembly, checks, extraction, layout, library, pages, procedures, viewer, vocabulary
 from ..sources.adapters import PAGE_STEPS_SQL, RAW_SQL, manual_pages, raw_steps, table
 from ..sources.tables import stored
-from ..streaming import perform
+from . import sessions
 
 RAW, RAW3 = RAW_SQL.format(number="l_linenumber"), RAW_SQL.format(number="3 * l_linenumber")
 _RUN = "marked AS (SELECT *, lag(number) OVER w AS a, lag(page) OVER w AS p FROM raw WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), runs AS (SELECT doc_id, pos, page, number, text, CAST(sum(CASE WHEN a IS NULL OR number IS NULL THEN 0 WHEN number <= a OR number - a > 8 OR page - p > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS run FROM marked)"
@@ -131,17 +131,6 @@ def _unmodelled(spark, d):
     return viewer.unmodelled(_parts_of_supply(spark, d), models)
 
 
-def _replay(spark, d):
-    """Events as actions on a procedure of five parts; every third enters a figure."""
-    import pandas as pd
-
-    steps = pd.DataFrame({"id": ["s01", "s02", "s03", "s04"], "installs": [["view"], ["signup", "click"], [], ["purchase"]], "depends": [[], ["s01"], ["s02"], ["s02", "s03"]], "torque": [None, 24.0, None, None]})
-    e = table(spark, d, "events")
-    figure = F.when(F.col("event_id") % 2 == 0, 24.0).otherwise(F.col("value"))
-    actions = e.select(F.col("user_id").cast("string").alias("user"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.when(F.col("event_id") % 3 == 0, "torque").otherwise("attempt").alias("kind"), F.col("event_type").alias("part"), figure.alias("value"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return perform.replay(actions, steps)
-
-
 def _provenance(spark, d):
     pages = manual_pages(spark, d)
     quotes = extraction.steps_of(pages).select("doc_id", "page", F.col("ord").cast("long").alias("ord"), F.col("text").alias("quote"))
@@ -219,7 +208,6 @@ QUERIES = {
     "bench_places": lambda s, d: viewer.on_bench(table(s, d, "part").select((F.col("p_partkey") % 50).alias("proc_id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("part_id"))),
     "file_names": lambda s, d: table(s, d, "supplier").select("s_suppkey", pages.file_name(F.concat(F.lit("up/load/"), F.replace("s_name", F.lit("#"), F.lit(" # ")))).alias("name")),
     "tool": lambda s, d: raw_steps(s, d).select("doc_id", "pos", fields.tool(F.col("text"), ["washer", "old washer", "bolt"]).alias("tool")),
-    "perform_replay": _replay,
     "furniture": lambda s, d: library.furniture(_pages(s, d), 0.1),
     "tier_summary": lambda s, d: pages.tier_counts(_pages(s, d).select(F.when(F.length(F.trim("text")) > 50, 1).when(F.col("page") % 2 == 0, 2).alias("tier"))),
     "attempt_topk": lambda s, d: library.history(_actions(s, d).select(F.col("user").alias("doc_id"), "id", F.col("ts").alias("at"))).select("doc_id", "id"),
@@ -229,6 +217,7 @@ QUERIES = {
     "singular": lambda s, d: table(s, d, "part").select("p_partkey", fields.singular(F.concat(F.substring_index("p_name", " ", -1), F.lit("es"))).alias("word")),
     "slug": lambda s, d: table(s, d, "supplier").select("s_suppkey", fields.slug(F.col("s_name")).alias("slug")),
     "gutter": lambda s, d: layout.gutter(_words(s, d)),
+    **sessions.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -294,4 +283,5 @@ ORACLE_SQL = {
     "bench_places": "WITH l AS (SELECT p_partkey % 50 AS proc_id, p_partkey AS part_id, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS n FROM part) SELECT proc_id, part_id, -7.0::DOUBLE + n % 6 * 2.8::DOUBLE AS x, -5.2::DOUBLE AS y, 9.0::DOUBLE + n // 6 * 2.6::DOUBLE AS z FROM l",
     "file_names": "SELECT s_suppkey, regexp_replace(replace(s_name, '#', ' # '), '[^A-Za-z0-9._-]+', '_', 'g') || '.pdf' AS name FROM supplier",
     "tool": f"WITH {RAW} SELECT doc_id, pos, CASE WHEN contains(lower(text), 'old washer') THEN 'old washer' WHEN contains(lower(text), 'washer') THEN 'washer' WHEN contains(lower(text), 'bolt') THEN 'bolt' END AS tool FROM raw",
+    **sessions.ORACLE_SQL,
 }
