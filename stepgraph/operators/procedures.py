@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +12,6 @@ NUMBER_GAP, PAGE_GAP = 8, 4
 MIN_STEPS, MIN_WITH_TORQUE = 4, 2
 TORQUE_RANGE = (0.5, 900.0)
 MOST_RESTARTS = 2
-GROUP_STEPS = 20_000  # of graphs that one call of a function takes
 # Words that open a numbered note rather than an instruction.
 NOTES = ("information", "these", "this manual", "the following", "components and", "specifications", "refer to", "when ordering", "all dimensions", "the illustrations", "note that", "figures in")
 
@@ -79,58 +76,3 @@ def dangling(refs: DataFrame, known: DataFrame) -> DataFrame:
 
 def repeated_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("proc_id", "id").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def graph_of(ids: list, links: list[tuple]) -> tuple[int, int, int, int]:
-    """Steps, branches, steps of the largest branch and steps that a topological order leaves over."""
-    nodes = list(dict.fromkeys(ids))
-    root, waits, after = {i: i for i in nodes}, dict.fromkeys(nodes, 0), {i: [] for i in nodes}
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for src, dst in links:
-        if src in root and dst in root:
-            root[find(src)] = find(dst)
-            waits[src] += 1
-            after[dst].append(src)
-    free, seen = [i for i in nodes if not waits[i]], 0
-    while free:
-        seen += 1
-        for nxt in after[free.pop()]:
-            waits[nxt] -= 1
-            if not waits[nxt]:
-                free.append(nxt)
-    sizes = Counter(find(i) for i in nodes)
-    return len(ids), len(sizes), max(sizes.values()), len(ids) - seen
-
-
-def branches(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """proc_id, n_steps, n_branches, largest, stuck of steps (proc_id, id) and edges (proc_id, src, dst): src depends on
-    dst. A repeated id is one node, and its copies count as steps left over.
-
-    A procedure's graph is a few dozen steps, so a function orders and joins it; some GROUP_STEPS steps of whole
-    procedures are handed to Python at once. References to unknown steps are ignored, and a procedure with edges but no
-    steps has no row. stuck counts the steps that a topological order leaves over: those on a cycle and all that
-    depend on one.
-    """
-    import pandas as pd
-
-    kind = steps.schema["proc_id"].dataType.simpleString()
-    groups = max(1, steps.count() // GROUP_STEPS)
-
-    def one(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids, links = defaultdict(list), defaultdict(list)
-        for p, i in zip(s["proc_id"], s["id"], strict=True):
-            ids[p].append(i)
-        for p, src, dst in zip(e["of"], e["src"], e["dst"], strict=True):
-            links[p].append((src, dst))
-        return pd.DataFrame([(p, *graph_of(i, links[p])) for p, i in ids.items()], columns=["proc_id", "n_steps", "n_branches", "largest", "stuck"])
-
-    dealt = lambda key: F.pmod(F.xxhash64(key), F.lit(groups)).alias("g")
-    left = steps.select("proc_id", "id", dealt("proc_id")).groupBy("g")
-    right = edges.select(F.col("proc_id").alias("of"), "src", "dst", dealt("proc_id")).select("of", "src", "dst", F.col("g").alias("h")).groupBy("h")
-    return left.cogroup(right).applyInPandas(one, f"proc_id {kind}, n_steps long, n_branches long, largest long, stuck long")

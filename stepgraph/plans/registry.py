@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import assembly, checks, extraction, layout, library, pages, procedures, viewer, vocabulary
+from ..operators import assembly, checks, extraction, graph, layout, library, pages, procedures, viewer, vocabulary
 from ..sources.adapters import PAGE_STEPS_SQL, RAW_SQL, manual_pages, raw_steps, table
 from ..sources.tables import stored
 from . import sessions
@@ -68,7 +68,7 @@ def _graph_steps(spark, d):
 
 def _graph(spark, d):
     steps, edges = _graph_steps(spark, d)
-    return procedures.branches(steps.select("proc_id", F.col("pos").alias("id")), edges)
+    return graph.branches(steps.select("proc_id", F.col("pos").alias("id")), edges)
 
 
 def _segmented(spark, d):
