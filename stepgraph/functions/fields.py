@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Units of torque and their factors to N.m, and the marks of a warning.
 UNITS = r"kgf?\s?[.·-]?\s?m(?![a-z])|N\s?[.·-]?\s?m(?![a-z])|newton\s?met(?:er|re)s?|[lIi1]bf?[\s.\-]?ft|ft[\s.\-]?[lIi1]bf?"
 NUMBER = r"\d{1,3}(?:\.\d{1,2})?"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LBFT, KGFM = 1.35582, 9.80665
 WARNING = r"(?is)\b((?:warning|caution|note|do not|never|must not)\b[:\s]*.{10,200}?)(?:\.|$)"
 
@@ -17,6 +18,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def lines_of(text: Column) -> Column:
+    """A text's lines, at line feeds, carriage returns and the other characters that end a line; no empty one at the end."""
+    return F.split(F.regexp_replace(text, rf"(?:{LINE_END})$", ""), LINE_END)
+
+
 def torque_nm(text: Column) -> Column:
     """The low end of the first torque in N.m, one decimal: a number before its unit, else a unit before its number."""
     prose = rf"(?i)({NUMBER})\s*(?:[-–—]\s*{NUMBER})?\s*({UNITS})"

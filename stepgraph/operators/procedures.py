@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,16 +26,20 @@ def runs(steps: DataFrame) -> DataFrame:
     return marked.withColumn("run", F.sum("_new").over(order).cast("long")).drop("_new")
 
 
+def substantial(n_steps: Column, n_torque: Column, opening: Column) -> Column:
+    """Whether a run of so many steps and torques, whose first step is opening, is a procedure and no note."""
+    body = F.lower(F.regexp_replace(opening, r"^\d+\. ", ""))
+    note = F.lit(False)
+    for words in NOTES:
+        note = note | F.coalesce(body.startswith(words), F.lit(False))
+    return ((n_steps >= MIN_STEPS) | ((n_steps >= MIN_WITH_TORQUE) & (n_torque > 0))) & ~note
+
+
 def procedures(steps: DataFrame) -> DataFrame:
     """doc_id, run, n_steps, n_torque, first_page of the runs that are substantial and no notes."""
     found = runs(steps).withColumn("torque", torque_nm(F.col("text")))
     each = found.groupBy("doc_id", "run").agg(F.count("*").alias("n_steps"), F.count("torque").alias("n_torque"), F.min("page").alias("first_page"), F.min_by("text", "pos").alias("opening"))
-    body = F.lower(F.regexp_replace("opening", r"^\d+\. ", ""))
-    note = F.lit(False)
-    for words in NOTES:
-        note = note | body.startswith(words)
-    large = (F.col("n_steps") >= MIN_STEPS) | ((F.col("n_steps") >= MIN_WITH_TORQUE) & (F.col("n_torque") > 0))
-    return each.where(large & ~note).drop("opening")
+    return each.where(substantial(F.col("n_steps"), F.col("n_torque"), F.col("opening"))).drop("opening")
 
 
 def first_use(steps: DataFrame) -> DataFrame:

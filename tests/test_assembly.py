@@ -46,7 +46,7 @@ def decoded(spark, text):
     hosts = lexicon.select("doc_id", F.col("part_id").alias("part"), F.explode("attaches_to").alias("host"))
     raw = extraction.steps_of(page).withColumn("pos", F.col("ord").cast("long"))
     steps = stored(assembly.segmented(vocabulary.mentions(raw, forms, "action")), "steps")
-    located = extraction.located(raw.select("doc_id", "page", F.col("text").alias("quote")), page)
+    located = extraction.located(raw.select("doc_id", "page", "pos", F.col("text").alias("quote")), page)
     rows, parts = assembly.spans_of(assembly.step_rows(steps, hosts, ["torque wrench"]), assembly.declared(steps, lexicon), located)
     return assembly.named(steps, F.lit("Top end")), rows.withColumn("proc_id", F.col("doc_id")), parts.withColumn("proc_id", F.col("doc_id"))
 
