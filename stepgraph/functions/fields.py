@@ -10,7 +10,7 @@ UNITS = r"kgf?\s?[.·-]?\s?m(?![a-z])|N\s?[.·-]?\s?m(?![a-z])|newton\s?met(?:er
 NUMBER = r"\d{1,3}(?:\.\d{1,2})?"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LBFT, KGFM = 1.35582, 9.80665
-WARNING = r"(?is)\b((?:warning|caution|note|do not|never|must not)\b[:\s]*.{10,200}?)(?:\.|$)"
+WARNING = r"(?is)\b(warning|caution|note|do not|never|must not)\b[:\s]*(.{10,200}?)(?:\.|$)"
 
 
 def squeezed(text: Column) -> Column:
