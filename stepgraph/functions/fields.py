@@ -23,6 +23,22 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, rf"(?:{LINE_END})$", ""), LINE_END)
 
 
+def rounded(value: Column) -> Column:
+    """To one decimal by the value's binary digits, exact ties to the even digit; for 0 to 10**14.
+
+    10 * value is taken apart into two products without rounding, so its distance to the middle between two tenths has the
+    right sign: 2.45, a little above it as a double, becomes 2.5, 0.15 becomes 0.1 and 2.25, a tie, 2.2.
+    """
+
+    def one(x: Column) -> Column:
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of its digits
+        low = F.floor(x * 10).cast("double")
+        over = (high * 10 - (low + 0.5)) + (x - high) * 10
+        return (low + F.when(over > 0, 1.0).when((over == 0) & (low % 2 == 1), 1.0).otherwise(0.0)) / 10
+
+    return F.get(F.transform(F.array(value), one), F.lit(0))
+
+
 def torque_nm(text: Column) -> Column:
     """The low end of the first torque in N.m, one decimal: a number before its unit, else a unit before its number."""
     prose = rf"(?i)({NUMBER})\s*(?:[-–—]\s*{NUMBER})?\s*({UNITS})"
@@ -31,7 +47,7 @@ def torque_nm(text: Column) -> Column:
     unit = F.coalesce(F.nullif(F.regexp_extract(text, prose, 2), F.lit("")), F.nullif(F.regexp_extract(text, table, 1), F.lit("")))
     plain = F.regexp_replace(F.regexp_replace(F.lower(unit), r"[ \-.·]", ""), "ib|1b", "lb")
     factor = F.when(plain.rlike("^(lbft|ftlb|lbfft|ftlbf)"), LBFT).when(plain.rlike("^kg"), KGFM).otherwise(1.0)
-    return F.round(value * factor, 1)
+    return rounded(value * factor)
 
 
 def warning(text: Column) -> Column:

@@ -96,8 +96,8 @@ def _kind(column: str) -> str:
 
 
 def write_assemblies(rows: DataFrame, path: str, by: str = "proc_id") -> None:
-    """One folder for each value of `by`, its assembly as a line of JSON."""
-    rows.write.mode("overwrite").partitionBy(by).json(path)
+    """One folder for each value of `by`, its assembly as a line of JSON; folders of values that rows lack stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
