@@ -164,7 +164,7 @@ def sketched(texts: DataFrame, width: int, least: int, most: int) -> np.ndarray:
 
     parts = texts.mapInArrow(count, "block bigint, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block bigint, bits binary")
     bits = np.zeros((DEPTH * width // BLOCK, BLOCK // 8), np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # blocks are merged side by side; as many bytes as the bits
         bits[r.block] = np.frombuffer(r.bits, np.uint8)
     return bits.reshape(-1)
 
