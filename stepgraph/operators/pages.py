@@ -82,22 +82,41 @@ ENTRY = "struct<name: string, forms: array<string>, attaches_to: array<string>,
 
 
 def read_assemblies(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ASSEMBLY and file of JSON files, one assembly each; absent lists are empty, an absent quantity is 1."""
-    rows = spark.read.schema(ASSEMBLY).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
-    none = F.array()
-    parts = F.transform(F.coalesce("parts", none.cast(_kind("parts"))), lambda p: p.withField("qty", F.coalesce(p["qty"], F.lit(1))))
-    lists = lambda s, c: F.coalesce(s[c], none.cast("array<string>"))
-    steps = F.transform(F.coalesce("steps", none.cast(_kind("steps"))), lambda s: s.withField("installs", lists(s, "installs")).withField("depends_on", lists(s, "depends_on")))
-    return rows.withColumns({"parts": parts, "steps": steps})
+    """Rows of ASSEMBLY, file and error of JSON files, one assembly each.
+
+    Values are read as they come and cast: a figure may be 3, 3.0 or "3". Absent or null lists are empty, an absent
+    quantity is 1, an absent text is '' and a null one null; what no cast fits is null. A file that is no JSON object is
+    a row with an error and empty lists. Partition columns of the path stay.
+    """
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()).withColumn("v", F.try_parse_json("value"))
+    get = lambda v, field, kind: F.try_variant_get(v, f"$.{field}", kind)
+    each = lambda field: F.coalesce(get(F.col("v"), field, "array<variant>"), F.array().cast("array<variant>"))
+    words = lambda v, field: F.coalesce(get(v, field, "array<string>"), F.array().cast("array<string>"))
+
+    figure = lambda v, field, kind="int": get(v, field, "double").cast(kind)
+
+    def span(v: Column) -> Column:
+        own = get(v, "provenance", "variant")
+        quote, sure = F.coalesce(get(own, "quote", "string"), F.lit("")), F.coalesce(get(own, "verified", "boolean"), F.lit(False))
+        held = F.struct(figure(own, "page"), quote, sure, figure(own, "char_start"), figure(own, "char_end"), get(own, "bbox", "array<double>"), get(own, "page_size", "array<double>"))
+        return F.when(get(own, "page", "variant").isNotNull(), held.cast(SPAN)).alias("provenance")
+
+    parts = F.transform(each("parts"), lambda v: F.struct(get(v, "id", "string").alias("id"), get(v, "name", "string").alias("name"), F.coalesce(figure(v, "qty"), F.lit(1)).alias("qty"), get(v, "part_number", "string").alias("part_number"), get(v, "mesh", "string").alias("mesh"), span(v)))
+    said = lambda v: F.when(get(v, "text", "variant").isNull(), F.lit("")).otherwise(get(v, "text", "string"))
+    steps = F.transform(each("steps"), lambda v: F.struct(get(v, "id", "string").alias("id"), figure(v, "index").alias("index"), said(v).alias("text"), figure(v, "source_number").alias("source_number"), words(v, "installs").alias("installs"), words(v, "depends_on").alias("depends_on"), get(v, "tool", "string").alias("tool"), figure(v, "torque_nm", "double").alias("torque_nm"), get(v, "warning", "string").alias("warning"), span(v)))
+    error = F.when(F.coalesce(F.schema_of_variant("v"), F.lit("VOID")).startswith("OBJECT"), F.lit(None)).otherwise("no JSON object")
+    more = [c for c in files.columns if c not in ("value", "file", "v")]
+    return files.select(*more, get(F.col("v"), "title", "string").alias("title"), get(F.col("v"), "source_document", "string").alias("source_document"), parts.alias("parts"), steps.alias("steps"), "file", error.cast("string").alias("error"))
 
 
-def _kind(column: str) -> str:
-    return {c.split(" ", 1)[0]: c.split(" ", 1)[1] for c in ASSEMBLY.replace(", parts ", "\nparts ").replace(", steps ", "\nsteps ").split("\n") if c.startswith(("parts", "steps"))}[column]
+def part_of(parts: Column, part_id: Column) -> Column:
+    """The first of an assembly's parts (or steps) with that id, or null."""
+    return F.get(F.filter(parts, lambda p: p["id"] == part_id), F.lit(0))
 
 
 def write_assemblies(rows: DataFrame, path: str, by: str = "proc_id") -> None:
-    """One folder for each value of `by`, its assembly as a line of JSON; folders of values that rows lack stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+    """One folder for each value of `by`, its assembly as a line of JSON with all fields, nulls too; folders of values that rows lack stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy(by).json(path)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -105,3 +105,28 @@ def escaped(text: Column) -> Column:
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(mark), F.lit(name))
     return out
+
+
+def step_list(steps: DataFrame) -> DataFrame:
+    """proc_id, idx, num, body, tags of steps (proc_id, idx, text, torque_nm, tool, verified, page): a row of a procedure's
+    list as a viewer shows it, texts escaped; tags are its torque if it is above 0, its tool, and its page if verified."""
+    figure = F.when(F.col("torque_nm") > 0, F.concat(number(F.col("torque_nm")), F.lit(" N\u00b7m")))
+    page = F.when(F.col("verified"), F.concat(F.lit("p."), F.col("page").cast("string"))).otherwise("inferred")
+    tags = F.filter(F.array(figure, F.when(F.col("tool") != "", escaped(F.col("tool"))), page), lambda t: t.isNotNull())
+    return steps.select("proc_id", "idx", F.format_string("%02d", F.col("idx") + 1).alias("num"), escaped(F.col("text")).alias("body"), tags.alias("tags"))
+
+
+def step_detail(steps: DataFrame, parts: DataFrame) -> DataFrame:
+    """proc_id, idx, counter ('3 / 8'), body, tags, warning of each step: tags are the names of the parts that it installs
+    (parts: proc_id, part_id, name; a part without one goes by its id) and where it stands in the source."""
+    named = steps.select("proc_id", "idx", F.posexplode("installs").alias("at", "part_id")).join(parts.select("proc_id", "part_id", "name").dropDuplicates(["proc_id", "part_id"]), ["proc_id", "part_id"], "left")
+    held = named.groupBy("proc_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", escaped(F.coalesce("name", "part_id")).alias("name")))), lambda x: x["name"]).alias("names"))
+    n = steps.groupBy("proc_id").agg(F.count("*").alias("n"))
+    place = F.when(F.col("verified"), F.concat(F.lit("verified \u00b7 page "), F.col("page").cast("string"))).otherwise("not found in source")
+    own = steps.join(held, ["proc_id", "idx"], "left").join(n, "proc_id")
+    return own.select("proc_id", "idx", F.concat_ws(" / ", (F.col("idx") + 1).cast("string"), F.col("n").cast("string")).alias("counter"), escaped(F.col("text")).alias("body"), F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(place)).alias("tags"), escaped(F.col("warning")).alias("warning"))
+
+
+def number(value: Column) -> Column:
+    """A figure without a needless '.0'."""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
