@@ -21,9 +21,22 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table: its plan is worked out once and a lost executor costs a reread."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession) -> int:
+    """Deletes the tables stored so far and tells how many there were; for the end of a run, when no result reads them."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
