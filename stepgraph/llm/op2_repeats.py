@@ -1,10 +1,8 @@
-"""Removal of long repeated passages by longest-previous-factor arrays.
+"""Removal of long repeated passages by hashed windows that anchors bring together.
 
-A byte string of `length` bytes repeats if the suffix that starts with it has a longest previous factor (or a longest
-following one) of `length` or more. In suffix order such suffixes stand side by side, and the previous and next
-smaller positions among them are the earlier matches. For a fixed length, so, the array needs no full suffix sort:
-it is enough to bring suffixes that agree on `length` bytes together and take each class's smallest position. That
-is done with shuffles that hold few rows for each text:
+This is not the dealt method: no suffix order is made and no longest-previous-factor array (the README says why). For a
+fixed length it is enough to bring suffixes that agree on `length` bytes together; the smallest position of such a class
+is the earlier match of all its others. That is done with shuffles that hold few rows for each text:
 
 1. Every window of `length` bytes has an anchor, its GRAM-byte string of least hash. Neighbouring windows mostly share
    one, so a text becomes a row for each run of windows with the same anchor. Equal windows have equal anchors at the
