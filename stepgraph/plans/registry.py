@@ -8,7 +8,7 @@ from ..functions import fields
 from ..operators import assembly, checks, extraction, graph, layout, library, pages, procedures, viewer, vocabulary
 from ..sources.adapters import PAGE_STEPS_SQL, RAW_SQL, manual_pages, raw_steps, table
 from ..sources.tables import stored
-from . import decoding, library_files, sessions, viewing
+from . import decoding, faults, library_files, sessions, viewing
 
 RAW, RAW3 = RAW_SQL.format(number="l_linenumber"), RAW_SQL.format(number="3 * l_linenumber")
 _RUN = "marked AS (SELECT *, lag(number) OVER w AS a, lag(page) OVER w AS p FROM raw WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), runs AS (SELECT doc_id, pos, page, number, text, CAST(sum(CASE WHEN a IS NULL OR number IS NULL THEN 0 WHEN number <= a OR number - a > 8 OR page - p > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS run FROM marked)"
@@ -219,6 +219,7 @@ QUERIES = {
     "gutter": lambda s, d: layout.gutter(_words(s, d)),
     **sessions.QUERIES,
     **decoding.QUERIES,
+    **faults.QUERIES,
     **library_files.QUERIES,
     **viewing.QUERIES,
 }
@@ -288,6 +289,7 @@ ORACLE_SQL = {
     "tool": f"WITH {RAW} SELECT doc_id, pos, CASE WHEN contains(lower(text), 'old washer') THEN 'old washer' WHEN contains(lower(text), 'washer') THEN 'washer' WHEN contains(lower(text), 'bolt') THEN 'bolt' END AS tool FROM raw",
     **sessions.ORACLE_SQL,
     **decoding.ORACLE_SQL,
+    **faults.ORACLE_SQL,
     **library_files.ORACLE_SQL,
     **viewing.ORACLE_SQL,
 }
