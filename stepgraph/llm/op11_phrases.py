@@ -6,9 +6,10 @@ not. A sketch never counts too little, so no frequent n-gram is lost; what it co
 Second pass: texts are read again, n-grams all of whose cells have their bit are counted exactly, as words and not as
 hashes. Then candidates are scored by their weakest cut and those that a longer phrase explains are dropped.
 
-Sizes: the bits are DEPTH * width / 8 bytes (32 MB here, whatever the input), the only thing that passes the driver and
-the only broadcast. With many more n-grams than width * least / 2, the rows let nearly all through and the second pass
-counts nearly all, in time linear in the input as before; give a larger width then.
+Sizes: the bits, DEPTH * width / 8 bytes, are the only thing that passes the driver and the only broadcast. The width
+follows the bytes of all texts, some two n-grams a counter, up to MOST_WIDTH (256 MB of bits). Beyond some 30 billion
+n-grams rows of that width let nearly all through; the second pass then counts nearly all, in time linear in the input
+as before.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ TOP = 2000  # of a language, the report's length
 SCALE = 2_000_000
 SHARE = 80  # of 100: a longer phrase with so many of a phrase's occurrences explains it
 UNKNOWN = "und"
-WIDTH = 1 << 27  # counters of a sketch's row
+LEAST_WIDTH, MOST_WIDTH = 1 << 20, 1 << 30  # counters of a sketch's row
+BYTES_A_COUNTER = 4  # of text
 DEPTH = 2
 BLOCK = 1 << 16  # counters of a block, which one row of a sketch's table holds
 FLUSH = 6 << 20  # n-grams that a task counts together
@@ -169,16 +171,24 @@ def sketched(texts: DataFrame, width: int, least: int, most: int) -> np.ndarray:
     return bits.reshape(-1)
 
 
-def counted(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, width: int = WIDTH) -> DataFrame:
+def width_for(texts: DataFrame) -> int:
+    """Counters of a sketch's row for texts: a power of two."""
+    size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (size // BYTES_A_COUNTER).bit_length()))
+
+
+def counted(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, width: int | None = None) -> DataFrame:
     """lang, n_words, phrase, n of all phrases of docs (lang, text) of up to `most` words with at least `least` occurrences in
     a language, exactly; and for each language a row with n_words 0 and phrase '' with the number of all its words.
 
     phrase: lower-case words (A-Z only) joined by one space. A null lang counts as 'und', null and empty texts hold no
-    words, repeated rows count each, an empty table gives no rows, other columns are not read.
+    words, repeated rows count each, an empty table gives no rows, other columns are not read. width: of the sketch, a
+    power of two from BLOCK on; width_for(docs) if none is given. It changes no row.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    width = width or width_for(texts)
     bits = spark.sparkContext.broadcast(sketched(texts, width, least, most).tobytes())
 
     def passes(hashes: np.ndarray) -> np.ndarray:
