@@ -288,9 +288,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, buc
             yield pa.RecordBatch.from_arrays([group.column("row_id").combine_chunks().take(pa.array(pick)), pa.array(first[pick] + offset[low]), pa.array(first[pick] + offset[high] + length)], ["row_id", "start", "end"])
 
     def with_texts(classes: DataFrame, *columns: str) -> DataFrame:
-        """The first run of each class, with its text."""
+        """The first run of each class, with its text; texts are shuffled as the caller does, so Spark does it once."""
         wanted = classes.groupBy("head.row_id").agg(F.collect_list(F.struct("bucket", *[f"head.{c}" for c in columns])).alias("runs"))
-        return texts.select("row_id", "doc_id", "text").join(wanted, "row_id").where("text IS NOT NULL")
+        return texts.select("row_id", "doc_id", "text").join(wanted, "row_id")
 
     runs = stored(own.select("row_id", "doc_id", "text").mapInArrow(to_runs, runs_schema), "runs")
     found = []
