@@ -227,7 +227,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, buc
     # one shape for all joins with texts, so Spark shuffles them once
     texts = own.select("row_id", *docs.columns)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs_schema = f"row_id long, doc_id {kind}, first long, last long, anchor_at long, bucket long, whole long"
+    runs_schema = f"row_id long, doc_id {kind}, first int, last int, anchor_at int, bucket long, whole long"
+    order = ["doc_id", "row_id"] if keep_first else ["row_id"]  # which copy is the first matters if it stays
 
     def to_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -235,7 +236,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, buc
                 for at, part, ends in stretches(data, offsets, length):
                     row, first, last, place, key, whole = runs_of(part, ends, length, gram)
                     pick = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first + at), pa.array(last + at), pa.array(place + at), _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor_at", "bucket", "whole"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *[pa.array(x + at, pa.int32()) for x in (first, last, place)], _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor_at", "bucket", "whole"])
 
     def to_blocks(width: int):
         def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, buc
                     key = mix(roll.of(base + core, base + core + length - width + 1) + label.astype(U) * U(0x9E3779B97F4A7C15))
                     whole = mix(halves(roll, base + low, base + high + length) + (anchor - low).astype(U))
                     pick = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(low), pa.array(high), pa.array(anchor), _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor_at", "bucket", "whole"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *[pa.array(x, pa.int32()) for x in (low, high, anchor)], _signed(key), _signed(whole)], ["row_id", "doc_id", "first", "last", "anchor_at", "bucket", "whole"])
 
         return blocks
 
@@ -292,11 +293,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, buc
         wanted = classes.groupBy("head.row_id").agg(F.collect_list(F.struct("bucket", *[f"head.{c}" for c in columns])).alias("runs"))
         return texts.select("row_id", "doc_id", "text").join(wanted, "row_id")
 
-    runs = stored(own.select("row_id", "doc_id", "text").mapInArrow(to_runs, runs_schema), "runs")
+    runs = stored(own.select("row_id", "doc_id", "text").mapInArrow(to_runs, runs_schema).select(*order, "first", "last", "anchor_at", "bucket", "whole"), "runs")
     found = []
     for width in (BLOCK, 1, 0):
-        classes = runs.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_id", "first", "last", "anchor_at")).alias("head"))
-        sizes = classes.groupBy("bucket").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
+        # most buckets hold one run only; these go before anything else is shuffled
+        repeated = runs.groupBy("bucket").agg(F.count("*").alias("total")).where("total > 1").select("bucket")
+        runs = stored(runs.join(repeated, "bucket", "left_semi"), "repeated-runs")
+        classes = runs.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*order, "first", "last", "anchor_at")).alias("head"))
+        sizes = classes.groupBy("bucket").agg(F.count("*").alias("kinds"))
         classes = stored(classes.join(sizes, "bucket"), "run-classes")
         copies = runs.join(classes.where("n > 1").select("bucket", "whole", "head"), ["bucket", "whole"])
         if keep_first:
@@ -308,7 +312,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, buc
         large = classes.where(F.col("kinds") > most)
         if not width or large.isEmpty():
             break
-        runs = stored(with_texts(large, "first", "last", "anchor_at").mapInArrow(to_blocks(width), runs_schema), "runs")
+        runs = stored(with_texts(large, "first", "last", "anchor_at").mapInArrow(to_blocks(width), runs_schema).select(*runs.columns), "runs")
     places = found[0]
     for more in found[1:]:
         places = places.unionByName(more)
