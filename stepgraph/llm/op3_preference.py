@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import read
 
@@ -66,8 +67,8 @@ def alternatives(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations and pairs for a table that has no rejected side of its own.
 
     A conversation's rejected side has the same turns up to its last answer (turn of a trained role) and another answer
-    there: that of the conversation whose conv_id differs in the lowest bit, if that one has another; else the first
-    half of its own, and WORDLESS for an empty one. So both sides have a completion with an answer, and what comes
+    there: that of the conversation whose conv_id differs in the lowest bit, if ids are integers and that one has another;
+    else the first half of its own, and WORDLESS for an empty one. So both sides have a completion with an answer, and what comes
     before is their prompt. A conversation without answers is paired with itself and is all prompt. Sides are told
     apart by a letter before the id, so no two ids clash; the pair has the conversation's own id.
     """
@@ -75,7 +76,9 @@ def alternatives(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     answer = F.col("role").isin(*TRAINED_ROLES)
     last = turns.groupBy("conv_id").agg(F.max(F.when(answer, F.struct("turn", "role", "text"))).alias("own"))
     answers = last.where("own IS NOT NULL")
-    other = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own.text").alias("another"))
+    ids = turns.schema["conv_id"].dataType
+    partner = F.col("conv_id").bitwiseXOR(F.lit(1)) if isinstance(ids, IntegralType) else F.lit(None).cast(ids)
+    other = answers.select(partner.alias("conv_id"), F.col("own.text").alias("another"))
     text = F.col("own.text")
     half = F.when(text != "", F.substring(text, F.lit(1), F.floor(F.length(text) / 2).cast("int"))).otherwise(F.lit(WORDLESS))
     given = answers.join(other, "conv_id", "left").select("conv_id", "own.turn", "own.role", F.when(F.col("another") != text, F.col("another")).otherwise(half).alias("text"))

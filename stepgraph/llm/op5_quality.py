@@ -195,9 +195,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Additive:
 
 
 def with_score(docs: DataFrame, model: Additive, name: str, text: str = "text") -> DataFrame:
-    """docs with all their columns and the score (0 to 1) in a further one, whose name they must lack. A null text counts
-    as empty; repeated rows give repeated scores; other columns are never read; an empty table stays empty."""
+    """docs with all their columns and the score (0 to 1) as the last one; a column of its name is replaced (letter case
+    as the session has it), but the text's own name is an error. Names of columns must have no dots. A null text counts as empty;
+    repeated rows give repeated scores; other columns are never read; an empty table stays empty."""
+    if name.lower() == text.lower():
+        raise ValueError(f"the score can't take the place of the text {text}")
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(name)
     where = docs.columns.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
