@@ -60,7 +60,7 @@ def _words(spark, d):
 
 def _graph_steps(spark, d):
     """Steps of 16 neighbouring orders; each depends on the first step with its part, and in some the first on it."""
-    steps = raw_steps(spark, d, orders=16).withColumnRenamed("doc_id", "proc_id")
+    steps = stored(raw_steps(spark, d, orders=16).select(F.col("doc_id").alias("proc_id"), "pos", "part"), "graph_steps")
     back = procedures.depends(steps.withColumnRenamed("proc_id", "doc_id")).select(F.col("doc_id").alias("proc_id"), F.col("pos").alias("src"), F.col("depends_on").alias("dst"))
     turned = back.where("proc_id % 7 = 0 AND src % 11 = 0").select("proc_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
     return steps, back.unionByName(turned)
