@@ -5,6 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from stepgraph.operators import vocabulary
 from stepgraph.sources.tables import stored
 
 
@@ -19,3 +20,11 @@ def test_small_files_of_many_rows_are_not_gathered_on_the_driver(spark):
     links = stored(spark.range(2_000_000).select(F.floor(F.col("id") / 1000).alias("by"), (F.col("id") % 1000).alias("id")), "links")
     steps = spark.range(3_000_000).select(F.floor(F.col("id") / 1000).alias("by"), (F.col("id") % 1000).alias("id"))
     assert "BroadcastHashJoin" not in _plan(steps.join(links, ["by", "id"], "left"))
+
+
+def test_tokens_of_mentions_stay_where_their_document_is(spark):
+    steps = spark.createDataFrame([(1, 1, "Fit the cold bolt.")], "doc_id long, pos long, text string")
+    forms = spark.createDataFrame([(1, "cold bolt", "b")], "doc_id long, form string, part_id string")
+    plan = _plan(vocabulary.mentions(steps, forms))
+    assert "ShuffledHashJoin" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "key" in x]
+    assert [r.parts for r in vocabulary.mentions(steps, forms).collect()] == [["b"]]
