@@ -28,3 +28,9 @@ def test_tokens_of_mentions_stay_where_their_document_is(spark):
     plan = _plan(vocabulary.mentions(steps, forms))
     assert "ShuffledHashJoin" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "key" in x]
     assert [r.parts for r in vocabulary.mentions(steps, forms).collect()] == [["b"]]
+
+
+def test_a_text_list_is_worked_out_once(spark):
+    pages = spark.createDataFrame([(1, 1, "1. Fit the cold bolt to 9 N.m.")], "doc_id long, page long, text string")
+    plan = _plan(vocabulary.lexicon(pages, spark.createDataFrame([], vocabulary.SEED)))
+    assert "regexp_extract_all" not in plan
