@@ -22,7 +22,7 @@ def _faulty(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     part = F.concat(F.lit("p"), (F.col("l_suppkey") % 13).cast("string"))
     torque = F.when(F.col("l_quantity") == 50, 950.0).when(F.col("l_partkey") % 2 == 0, F.col("l_quantity").cast("double"))
     steps = rows.select("proc_id", "idx", name(F.col("idx") + twice).alias("step_id"), F.col("l_linenumber").alias("number"), F.array(part).alias("installs"), F.array_compact(F.array(back, ahead)).alias("depends_on"), torque.alias("torque_nm"), (F.col("l_returnflag") != "R").alias("verified"))
-    declared = rows.where("l_linenumber <> 3").select("proc_id", part.alias("part_id")).union(rows.where("l_quantity > 47").select("proc_id", F.concat(F.lit("q"), F.col("l_linenumber").cast("string")))).distinct()
+    declared = rows.where("l_linenumber <> 3").select("proc_id", part.alias("part_id")).union(rows.where("l_quantity > 47").select("proc_id", F.concat(F.lit("q"), F.col("l_linenumber").cast("string")))).repartition("proc_id").distinct()
     parts = declared.select("proc_id", (F.row_number().over(W.partitionBy("proc_id").orderBy("part_id")) - 1).alias("ord"), "part_id", F.col("part_id").startswith("p").alias("verified"))
     return rows.select("proc_id").distinct(), steps, parts
 

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from stepgraph.operators import extraction, procedures, vocabulary
+from stepgraph.operators import checks, extraction, graph, procedures, vocabulary
 from stepgraph.sources.tables import stored
 
 
@@ -49,3 +49,20 @@ def test_boxes_read_words_once(spark):
     found = extraction.boxes(quotes, words)
     assert _plan(found).count("Scan ExistingRDD") == 2
     assert {r.quote: r.bbox and [r.bbox[0], r.bbox[2]] for r in found.collect()} == {"a b c": [4, 7], "(C)": [3, 4], "b a b": None, "a  B, a": [0, 3], "": None, None: None, "a b": [0, 2]}
+
+
+def test_checks_and_graph_rounds_send_nothing(spark):
+    steps = spark.range(1000).select(F.floor(F.col("id") / 10).alias("proc_id"), (F.col("id") % 10).cast("int").alias("idx"), F.concat(F.lit("s"), F.col("id") % 10).alias("step_id"), F.lit(1).alias("number"), F.array(F.lit("p")).alias("installs"), F.array(F.lit("s0")).alias("depends_on"), F.lit(1.0).alias("torque_nm"), F.lit(True).alias("verified"))
+    parts = spark.range(100).select(F.col("id").alias("proc_id"), F.lit(0).alias("ord"), F.lit("p").alias("part_id"), F.lit(True).alias("verified"))
+    found = checks.checked(steps.select("proc_id"), steps, parts)
+    assert "Exchange hashpartitioning" not in _plan(found)
+    said = {r.code: (r.n, r.details) for r in found.groupBy("code").agg(F.count("*").alias("n"), F.collect_set("detail").alias("details")).collect()}
+    assert said["P2"] == (100, ["20 references resolved"]) and said["P1"] == (100, ["cycle involving 10 steps"]) and said["P4"] == (100, ["1 independent branches, largest 10 steps"])
+
+
+def test_large_graphs_are_dealt_by_node(spark, monkeypatch):
+    steps = spark.range(60).select(F.floor(F.col("id") / 20).alias("proc_id"), (F.col("id") % 20).alias("id"))
+    edges = steps.where("id > 0").select("proc_id", F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    want = graph.branches(steps, edges).orderBy("proc_id").collect()
+    monkeypatch.setattr(graph, "TOGETHER", 5)
+    assert graph.branches(steps, edges).orderBy("proc_id").collect() == want and [tuple(r)[1:] for r in want] == [(20, 1, 20, 0)] * 3
