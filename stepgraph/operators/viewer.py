@@ -121,9 +121,8 @@ def step_detail(steps: DataFrame, parts: DataFrame) -> DataFrame:
     (parts: proc_id, part_id, name; a part without one goes by its id) and where it stands in the source."""
     named = steps.select("proc_id", "idx", F.posexplode("installs").alias("at", "part_id")).join(parts.select("proc_id", "part_id", "name").dropDuplicates(["proc_id", "part_id"]), ["proc_id", "part_id"], "left")
     held = named.groupBy("proc_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", escaped(F.coalesce("name", "part_id")).alias("name")))), lambda x: x["name"]).alias("names"))
-    n = steps.groupBy("proc_id").agg(F.count("*").alias("n"))
     place = F.when(F.col("verified"), F.concat(F.lit("verified \u00b7 page "), F.col("page").cast("string"))).otherwise("not found in source")
-    own = steps.join(held, ["proc_id", "idx"], "left").join(n, "proc_id")
+    own = steps.where("proc_id IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("proc_id"))).join(held, ["proc_id", "idx"], "left")
     return own.select("proc_id", "idx", F.concat_ws(" / ", (F.col("idx") + 1).cast("string"), F.col("n").cast("string")).alias("counter"), escaped(F.col("text")).alias("body"), F.concat(F.coalesce("names", F.array().cast("array<string>")), F.array(place)).alias("tags"), escaped(F.col("warning")).alias("warning"))
 
 

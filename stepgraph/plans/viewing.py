@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import torque_nm
 from ..operators import pages, procedures, viewer
 from ..sources.adapters import RAW_SQL, raw_steps, table
+from ..sources.tables import stored
 
 RAW = RAW_SQL.format(number="l_linenumber")
 _T = "CAST(nullif(regexp_extract(text, '([0-9]{1,3})\\s*N\\.m', 1), '') AS INTEGER)"
@@ -25,7 +26,7 @@ def _list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _detail(spark: SparkSession, d: str) -> DataFrame:
-    steps = _steps(spark, d)
+    steps = stored(_steps(spark, d), "detailed", "proc_id")
     parts = steps.select("proc_id", F.explode("installs").alias("part_id")).where("part_id LIKE 'cold %'").distinct().withColumn("name", F.upper("part_id"))
     return viewer.step_detail(steps, parts).withColumn("tags", F.array_join("tags", "|"))
 

@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_steps(spark: SparkSession, sf_dir: str, number: str = "l_linenumber", orders: int = 64) -> DataFrame:
     """doc_id, pos, page, number, part, text: so many neighbouring orders as a manual, a line as a numbered step."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    columns = ("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_orderkey", "l_quantity", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select(*columns).join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     order = W.partitionBy("doc_id").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_orderkey", "l_quantity")
+    rows = rows.select(F.floor(F.col("l_orderkey") / orders).alias("doc_id"), *columns, "p_name").withColumn("pos", F.row_number().over(order).cast("long"))
+    # texts are written where a manual's lines have come together, so they are not sent
     text = F.concat(F.col("l_linenumber").cast("string"), F.lit(". Fit the "), "p_name", F.lit(" and tighten to "), F.col("l_quantity").cast("int").cast("string"), F.lit(" N.m."), F.when(F.col("l_returnflag") == "R", F.lit(" WARNING: do not reuse the old washer.")).otherwise(F.lit("")))
-    rows = rows.withColumn("doc_id", F.floor(F.col("l_orderkey") / orders)).withColumn("pos", F.row_number().over(order).cast("long"))
     page = F.year("l_shipdate") * 12 + F.month("l_shipdate")
     return rows.select("doc_id", "pos", page.cast("int").alias("page"), F.expr(number).cast("int").alias("number"), F.col("p_name").alias("part"), text.alias("text"))
 

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from stepgraph.operators import checks, extraction, graph, procedures, vocabulary
+from stepgraph.operators import checks, extraction, graph, procedures, viewer, vocabulary
 from stepgraph.sources.tables import stored
 
 
@@ -66,3 +66,10 @@ def test_large_graphs_are_dealt_by_node(spark, monkeypatch):
     want = graph.branches(steps, edges).orderBy("proc_id").collect()
     monkeypatch.setattr(graph, "TOGETHER", 5)
     assert graph.branches(steps, edges).orderBy("proc_id").collect() == want and [tuple(r)[1:] for r in want] == [(20, 1, 20, 0)] * 3
+
+
+def test_step_detail_counts_without_another_read(spark):
+    steps = spark.createDataFrame([(1, i, "Fit it.", 3, True, ["b"], None) for i in range(2)], "proc_id long, idx long, text string, page long, verified boolean, installs array<string>, warning string")
+    found = viewer.step_detail(steps, spark.createDataFrame([(1, "b", "Bolt")], "proc_id long, part_id string, name string"))
+    assert _plan(found).count("Scan ExistingRDD") == 3
+    assert [(r.counter, r.tags) for r in found.orderBy("idx").collect()] == [("1 / 2", ["Bolt", "verified · page 3"]), ("2 / 2", ["Bolt", "verified · page 3"])]
