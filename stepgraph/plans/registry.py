@@ -72,7 +72,7 @@ def _graph(spark, d):
 
 
 def _segmented(spark, d):
-    return stored(assembly.segmented(raw_steps(spark, d)).withColumn("parts", F.array("part")), "segmented")
+    return stored(assembly.segmented(raw_steps(spark, d)).withColumn("parts", F.array("part")), "segmented", "doc_id")
 
 
 def _hosts(steps):

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from stepgraph.operators import checks, extraction, graph, procedures, viewer, vocabulary
+from stepgraph.operators import assembly, checks, extraction, graph, procedures, viewer, vocabulary
 from stepgraph.sources.tables import stored
 
 
@@ -73,3 +73,10 @@ def test_step_detail_counts_without_another_read(spark):
     found = viewer.step_detail(steps, spark.createDataFrame([(1, "b", "Bolt")], "proc_id long, part_id string, name string"))
     assert _plan(found).count("Scan ExistingRDD") == 3
     assert [(r.counter, r.tags) for r in found.orderBy("idx").collect()] == [("1 / 2", ["Bolt", "verified · page 3"]), ("2 / 2", ["Bolt", "verified · page 3"])]
+
+
+def test_procedures_are_named_in_one_pass(spark):
+    steps = spark.createDataFrame([(1, i, 1, i % 4 + 1, "Refer to it." if i > 3 else "Fit it to 9 N.m.") for i in range(12)], "doc_id long, pos long, page int, number int, text string")
+    found = assembly.named(assembly.segmented(steps))
+    assert _plan(found).count("Scan ExistingRDD") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 1, "1", "p.1 - Fit it to 9 N.m", "1")]
