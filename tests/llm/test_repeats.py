@@ -75,3 +75,27 @@ def test_text_ids_and_columns(spark):
     assert op2.removed(docs.limit(0), 20).count() == 0
     whole, places = op2.repeats(docs, 20)
     assert whole.columns == ["row_id", *docs.columns] and places.count() == 2
+
+
+def test_texts_are_not_sent_for_a_few_runs(spark, monkeypatch):
+    """Runs of large buckets go to the texts while they are few; more are joined by a shuffle, with the same result."""
+    docs = spark.createDataFrame(list(enumerate(passages(7, "abcd", 40))), "doc_id long, text string")
+    plans, put = [], op2.stored
+
+    def stored(df, name):
+        if name == "runs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    monkeypatch.setattr(op2, "stored", stored)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = sorted(map(tuple, op2.removed(docs, 20, bucket_bytes=1).collect()))
+        assert len(plans) == 3 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans[1:])
+        plans.clear()
+        monkeypatch.setattr(op2, "MOST_BROADCAST", 0)
+        assert sorted(map(tuple, op2.removed(docs, 20, bucket_bytes=1).collect())) == few
+        assert len(plans) == 3 and all("SortMergeJoin" in p for p in plans[1:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
