@@ -99,3 +99,32 @@ def test_texts_are_not_sent_for_a_few_runs(spark, monkeypatch):
         assert len(plans) == 3 and all("SortMergeJoin" in p for p in plans[1:])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_bucket_of_a_very_common_passage_is_split(spark, monkeypatch):
+    """Nearly all runs lie in the buckets of one passage; the joins by bucket deal its rows to several tasks."""
+    rng = random.Random(3)
+    text = lambda size: "".join(rng.choices("abcdefgh", k=size))
+    common = text(30)
+    texts = [text(rng.randint(20, 40)) + common + text(rng.randint(20, 40)) for _ in range(3000)]
+    plans, put = {}, op2.stored
+
+    def stored(df, name):
+        if name in ("repeated-runs", "run-classes"):
+            df.collect()
+            plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    monkeypatch.setattr(op2, "stored", stored)
+    sql = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "8", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in sql}
+    try:
+        for k, v in sql.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op2.removed(docs, 20).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert got == {n: w[:3] for n, w in enumerate(op2.plain([t.encode() for t in texts], 20))}
+    assert len(plans) == 2 and all("skew=true" in p for p in plans.values())
