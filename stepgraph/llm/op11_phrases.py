@@ -227,10 +227,11 @@ def exact(column: str):
 
 def with_counts(cuts: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
     """cuts with the count of the phrase in column part. One part may be in a third of all cuts, so cuts are salted and
-    counts, one row a phrase, repeated for each salt."""
+    counts, one row a phrase, repeated for each salt. They are sorted and merged, never gathered on the driver: Spark takes
+    them for as large as the compressed file and doesn't count the repeated rows."""
     side = counts.select(F.col("lang").alias("_l"), F.col("phrase").alias("_p"), F.col("n").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
     salt = F.pmod(F.hash("phrase", "k"), F.lit(SALTS))
-    return cuts.join(side, (cuts.lang == side._l) & (cuts[part] == side._p) & (salt == side._s)).drop("_l", "_p", "_s")
+    return cuts.join(side.hint("merge"), (cuts.lang == side._l) & (cuts[part] == side._p) & (salt == side._s)).drop("_l", "_p", "_s")
 
 
 def collocations(counts: DataFrame, top: int = TOP, share: int = SHARE) -> DataFrame:
@@ -252,7 +253,8 @@ def collocations(counts: DataFrame, top: int = TOP, share: int = SHARE) -> DataF
     longer = many.where("n_words > 2").select("lang", F.col("n").alias("longest"), words.alias("w"), F.explode(F.expr("sequence(2, n_words - 1)")).alias("m"))
     longer = longer.select("lang", "longest", "w", "m", F.explode(F.expr("sequence(1, size(w) - m + 1)")).alias("at"))
     longer = longer.select("lang", F.expr("array_join(slice(w, at, m), ' ')").alias("phrase"), "longest").groupBy("lang", "phrase").agg(F.max("longest").alias("longest"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (exact("longest") * 100 < exact("a") * share))
+    # merged too: an explode's rows and a file's compression hide how many phrases there are
+    kept = scored.join(longer.hint("merge"), ["lang", "phrase"], "left").where(F.col("longest").isNull() | (exact("longest") * 100 < exact("a") * share))
 
     # first within salts of a language, so that no task sorts a language whole
     flat = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
@@ -261,7 +263,7 @@ def collocations(counts: DataFrame, top: int = TOP, share: int = SHARE) -> DataF
     some = salted.withColumn("_r", F.row_number().over(W.partitionBy("lang", "_s").orderBy(*order))).where(F.col("_r") <= top)
     ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     totals = counts.where("n_words = 0").select("lang", "n")
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals.hint("merge"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

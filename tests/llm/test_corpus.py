@@ -53,6 +53,15 @@ def test_scores_beyond_64_bits(spark):
     assert [tuple(r) for r in op11_phrases.collocations(counts).collect()] == [("a", 1, "x y", big, 2 * big, 2 * big - 1, 3 * big, 2_000_000 * big // (4 * big - 1))]
 
 
+def test_collocations_gather_no_phrases_on_the_driver(spark, tmp_path):
+    held = {"x": 40, "y": 40, "z": 40, "x y": 40, "y z": 50, "x y z": 40}
+    counts = spark.createDataFrame([("a", 0, "", 400), *[("a", len(p.split()), p, n) for p, n in held.items()]], "lang string, n_words int, phrase string, n long")
+    counts.write.parquet(f"{tmp_path}/counts")
+    found = op11_phrases.collocations(spark.read.parquet(f"{tmp_path}/counts"))  # a file's size doesn't tell the rows in it
+    assert [tuple(r) for r in found.collect()] == [("a", 1, "x y z", 40, 40, 50, 400, 888_888)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # --- byte-level BPE
 
 
