@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,10 +52,60 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common["n"] if common else 0)).distinct()
 
 
-def top_rows(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """The best `most` (by score, then id) of each value of by; a row's other copies are dropped first."""
-    order = W.partitionBy(by).orderBy(F.col("score").desc(), "to")
-    return rows.groupBy(by, "to").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+def best_edges(edges: DataFrame, most: int) -> DataFrame:
+    """node, to, score, new of edges (the same columns): the best `most` (by score, then id) of each node. Copies count once,
+    with the best score, as new only if all are. Rows come sorted by node and a node's are cut as they come, so none is held whole."""
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool)]
+        for batch in it:
+            node, to, score, new = (np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True))
+            if not len(node):
+                continue
+            order = np.lexsort([to, node])
+            node, to, score, new = node[order], to[order], score[order], new[order]
+            one = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (to[1:] != to[:-1])]))
+            node, to, score, new = node[one], to[one], np.maximum.reduceat(score, one), np.logical_and.reduceat(new, one)
+            order = np.lexsort([to, -score, node])
+            node, to, score, new = node[order], to[order], score[order], new[order]
+            fine = np.arange(len(node)) - np.searchsorted(node, node) < most
+            end = np.searchsorted(node, batch.column(0)[-1].as_py())  # the last node's rows may go on
+            yield edge_rows(*(c[:end][fine[:end]] for c in (node, to, score, new)))
+            kept = [c[end:][fine[end:]] for c in (node, to, score, new)]
+        yield edge_rows(*kept)
+
+    return edges.select("node", "to", "score", "new").repartition("node").sortWithinPartitions("node").mapInArrow(cut, EDGE)
+
+
+EDGE = "node long, to long, score float, new boolean"
+
+
+def edge_rows(node: np.ndarray, to: np.ndarray, score: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(to), pa.array(score.astype(np.float32)), pa.array(new)], ["node", "to", "score", "new"])
+
+
+def whole_groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows, sorted by their first column, in batches that part no group, and where each group starts. Groups are bounded."""
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        end = int(np.searchsorted(key, key[-1]))
+        if held and held[0].column(0)[0].as_py() != key[-1]:
+            yield _joined([*held, batch.slice(0, end)])
+            held = []
+        elif end:
+            yield _joined([batch.slice(0, end)])
+        held.append(batch.slice(end))
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+    whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    key = whole.column(0).to_numpy()
+    return whole, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
 
 
 def pivots_of(count: int) -> int:
@@ -113,19 +162,20 @@ def first_graph(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     cells = nodes.select("node", "a").mapInArrow(assign, "cell long, node long, a array<float>")
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("node", "cell"), F.col("blocks")))
+    dealt = cells.join(F.broadcast(sizes), "cell").select(F.xxhash64("cell", F.pmod(F.xxhash64("node", "cell"), F.col("blocks"))).alias("block"), "node", "a")
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(pdf["a"].to_numpy()), pdf["node"].to_numpy()
-        s = x @ x.T
-        np.fill_diagonal(s, -np.inf)
-        k = min(NEIGHBOURS, len(ids) - 1)
-        if k <= 0:
-            return pd.DataFrame({"node": ids[:0], "to": ids[:0], "score": np.zeros(0, np.float32)})
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"node": np.repeat(ids, k), "to": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
+    def within(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, start in whole_groups(it):
+            every, all_ids = _matrix(rows.column(2)), rows.column(1).to_numpy()
+            for x, ids in zip(np.split(every, start[1:]), np.split(all_ids, start[1:]), strict=True):
+                s = x @ x.T
+                np.fill_diagonal(s, -np.inf)
+                k = min(NEIGHBOURS, len(ids) - 1)
+                if k > 0:
+                    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    yield edge_rows(np.repeat(ids, k), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel(), np.ones(len(ids) * k, bool))
 
-    return top_rows(dealt.groupBy("cell", "block").applyInPandas(within, "node long, to long, score float"), "node", NEIGHBOURS)
+    return best_edges(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(within, EDGE), NEIGHBOURS)
 
 
 def improved(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
@@ -134,23 +184,33 @@ def improved(graph: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     ahead = graph.select(F.col("node").alias("mid"), F.col("to").alias("node"))
     back = graph.select(F.col("to").alias("mid"), "node")
     chance = F.xxhash64("mid", "node", F.lit(turn))
-    some = [x.withColumn("r", F.row_number().over(W.partitionBy("mid").orderBy(chance))).where(F.col("r") <= SAMPLE).select("mid", "node") for x in (ahead, back)]
+    # a node has no more than NEIGHBOURS ahead, so only those behind are sampled
+    some = [x.withColumn("r", F.row_number().over(W.partitionBy("mid").orderBy(chance))).where(F.col("r") <= SAMPLE).select("mid", "node") if most > SAMPLE else x for x, most in ((ahead, NEIGHBOURS), (back, float("inf")))]
     carried = nodes.select("node", F.col("half").alias("a")).join(farthest, "node", "left")
-    groups = some[0].unionByName(some[1]).distinct().join(carried, "node")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["a"]), np.float16).reshape(len(pdf), -1).astype(np.float32)
-        ids, least = pdf["node"].to_numpy(), pdf["farthest"].fillna(-3.0).to_numpy(np.float32)
-        s = x @ x.T
-        np.fill_diagonal(s, -9)
-        i, j = np.nonzero(s > least[:, None])
-        return pd.DataFrame({"node": ids[i], "to": ids[j], "score": s[i, j]})
-
-    found = groups.groupBy("mid").applyInPandas(meet, "node long, to long, score float")
-    both = graph.select("node", "to", "score", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True)))
-    order = W.partitionBy("node").orderBy(F.col("score").desc(), "to")
-    best = both.groupBy("node", "to").agg(F.max("score").alias("score"), F.min("new").alias("new"))
-    return best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEIGHBOURS).drop("r")
+    groups = some[0].unionByName(some[1]).join(carried, "node").select("mid", "node", F.coalesce("farthest", F.lit(-3.0).cast("float")).alias("farthest"), "a")
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in whole_groups(it):
+            mid, node = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            own = np.lexsort([node, mid])  # a node that is both ahead and back comes once
+            own = own[np.concatenate([[True], (mid[own][1:] != mid[own][:-1]) | (node[own][1:] != node[own][:-1])])]
+            mid, node, least = mid[own], node[own], rows.column(2).to_numpy()[own]
+            x = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.float16).reshape(rows.num_rows, -1)[own].astype(np.float32)
+            start = np.flatnonzero(np.concatenate([[True], mid[1:] != mid[:-1]]))
+            size = np.diff(np.append(start, len(mid)))
+            for most in range(int(size.max()), 0, -8):  # groups of like sizes are one product of matrices
+                of = np.flatnonzero((size <= most) & (size > most - 8))
+                for k in range(0, len(of), 256):
+                    place = start[of[k : k + 256], None] + np.arange(most)
+                    held = np.arange(most) < size[of[k : k + 256], None]
+                    place = np.where(held, place, 0)
+                    s = np.matmul(x[place], x[place].transpose(0, 2, 1))
+                    s[:, np.arange(most), np.arange(most)] = -9
+                    g, i, j = np.nonzero((s > np.where(held, least[place], 9)[:, :, None]) & held[:, None, :])
+                    yield edge_rows(node[place[g, i]], node[place[g, j]], s[g, i, j], np.ones(len(g), bool))
+
+    found = groups.repartition("mid").sortWithinPartitions("mid").mapInArrow(meet, EDGE)
+    return best_edges(graph.select("node", "to", "score", F.lit(False).alias("new")).unionByName(found), NEIGHBOURS)
 
 
 def neighbour_graph(nodes: DataFrame, pivots: np.ndarray, delta: float = DELTA) -> DataFrame:
@@ -169,7 +229,7 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, longest: in
     # the query's own node opens first
     ahead = graph.select(F.col("node").alias("at"), F.col("to"), F.lit(0).alias("back"))
     both = ahead.unionByName(ahead.select(F.col("to").alias("at"), F.col("at").alias("to"), F.lit(1).alias("back")))
-    links = stored(top_links(both.groupBy("at", "to").agg(F.min("back").alias("back"))), "links")
+    links = stored(top_links(both.groupBy("at", "to").agg(F.min("back").alias("back"))).groupBy("at").agg(F.collect_list("to").alias("to")), "links")
     vectors = nodes.select(F.col("node").alias("to"), "v")
     asked = queries.select("query", F.col("v").alias("q"))
 
@@ -178,12 +238,27 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, longest: in
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 s = np.einsum("ij,ij->i", _matrix(part.column(2)), _matrix(part.column(3)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s)], ["query", "to", "score"])
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(asked, "query").join(vectors, "to").select("query", "to", "q", "v")
+                kept = np.flatnonzero(~(s < part.column(4).to_numpy(zero_copy_only=False)))  # no least is NaN
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), part.column(1).take(pa.array(kept)), pa.array(s[kept])], ["query", "to", "score"])
+
+    def scored(pairs: DataFrame, beam: DataFrame | None = None) -> DataFrame:
+        """Pairs with scores; where a query's beam is full, those below all of it are left out."""
+        least = asked.withColumn("least", F.lit(None).cast("double"))
+        if beam is not None:
+            full = beam.groupBy("query").agg(F.when(F.count("*") >= BEAM, F.min("score")).alias("least"))
+            least = asked.join(full, "query", "left")
+        full = pairs.join(least, "query").join(vectors, "to").select("query", "to", "q", "v", "least")
         return full.mapInArrow(dots, "query long, to long, score double")
 
+    def unseen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in whole_groups(it):
+            lists, sizes = rows.column(1), rows.column(1).value_lengths().to_numpy()
+            query, to, held = np.repeat(rows.column(0).to_numpy(), sizes), lists.flatten().to_numpy(), np.repeat(rows.column(2).to_numpy(zero_copy_only=False), sizes)
+            order = np.lexsort([~held, to, query])  # what the beam holds comes first among equals
+            query, to, held = query[order], to[order], held[order]
+            fresh = ~held & np.concatenate([[True], (query[1:] != query[:-1]) | (to[1:] != to[:-1])])[: len(query)]
+            yield pa.RecordBatch.from_arrays([pa.array(query[fresh]), pa.array(to[fresh])], ["query", "to"])
+
     long = [r["node"] for r in nodes.select("node", "length").orderBy(F.col("length").desc(), "node").limit(longest).collect()]
     starts = queries.select("query", F.explode(F.array_distinct(F.array("node", *[F.lit(n) for n in long]))).alias("to"))
     beam = stored(scored(starts).withColumn("opened", F.lit(False)), "beam")
@@ -193,9 +268,11 @@ def searched(queries: DataFrame, graph: DataFrame, nodes: DataFrame, longest: in
         turn = stored(turn, "turn")
         if turn.isEmpty():
             break
-        fresh = turn.join(links, "at").select("query", "to").distinct().join(beam.select("query", "to"), ["query", "to"], "left_anti")
+        ahead = turn.join(links, "at").select("query", "to", F.lit(False).alias("held"))
+        known = beam.groupBy("query").agg(F.collect_list("to").alias("to")).withColumn("held", F.lit(True))
+        fresh = ahead.unionByName(known).repartition("query").sortWithinPartitions("query").mapInArrow(unseen, "query long, to long")
         opened = beam.join(turn.select("query", F.col("at").alias("to"), F.lit(True).alias("now")), ["query", "to"], "left").select("query", "to", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        both = opened.unionByName(scored(fresh).withColumn("opened", F.lit(False)))
+        both = opened.unionByName(scored(fresh, beam).withColumn("opened", F.lit(False)))
         beam = stored(both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEAM).drop("r"), "beam")
     return beam.select("query", "to", "score")
 
@@ -230,7 +307,7 @@ def nearest(table: DataFrame, is_query, top: int = TOP) -> DataFrame:
                 n = np.linalg.norm(v, axis=1)
                 x = v / np.maximum(n, scale)[:, None]
                 x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32())), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(n)], ["node", "v", "a", "half", "length"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel()), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(n)], ["node", "v", "a", "half", "length"])
 
     nodes = stored(one.mapInArrow(unit, "node long, v array<double>, a array<float>, half binary, length double"), "nodes")
     count = nodes.count()

@@ -301,6 +301,34 @@ def test_search_goes_on_until_nothing_is_unopened(spark):
     assert {r.to for r in op10_neighbours.searched(query, graph, nodes, longest=0).collect()} == set(range(far))
 
 
+def test_graph_is_built_without_a_call_for_each_group(spark):
+    """An iteration against all pairs by hand, over many small batches: hubs, a node both ahead and behind, groups of one."""
+    x = np.random.default_rng(7).normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, bytes(v.astype(np.float16).tobytes())) for i, v in enumerate(x)], "node long, half binary")
+    near = {i: {(i + 1) % 300, 0, (i * 7 + 3) % 300} - {i} for i in range(300)}
+    half = x.astype(np.float16).astype(np.float32)
+    graph = spark.createDataFrame([(i, j, float(half[i] @ half[j])) for i, to in near.items() for j in to], "node long, to long, score float")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = op10_neighbours.improved(graph, nodes, 0)
+        got = found.collect()
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    behind = {m: [i for i in range(300) if m in near[i]] for m in range(1, 300)}
+    met = {i: set(to) for i, to in near.items()}
+    for m, some in behind.items():
+        for i in {*some, *near[m]}:
+            met[i] |= ({*some, *near[m]} - {i})
+    for i in range(300):
+        own = {r.to: (r.score, r.new) for r in got if r.node == i}
+        assert len(own) == sum(r.node == i for r in got) <= op10_neighbours.NEIGHBOURS and all(abs(s - half[i] @ half[j]) < 1e-4 and new == (j not in near[i]) for j, (s, new) in own.items())
+        want = sorted(met[i], key=lambda j: -(half[i] @ half[j]))[: op10_neighbours.NEIGHBOURS]
+        assert i == 0 or len(own) >= len(want) and half[i] @ half[want[-1]] <= min(s for s, _ in own.values()) + 1e-4
+
+
 def test_graph_goes_on_until_few_edges_change(spark, monkeypatch):
     turns = []
 
