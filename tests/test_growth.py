@@ -5,7 +5,8 @@ import io
 
 from pyspark.sql import functions as F
 
-from stepgraph.operators import assembly, checks, extraction, graph, procedures, viewer, vocabulary
+from stepgraph.operators import assembly, checks, decode, extraction, graph, procedures, viewer, vocabulary
+from stepgraph.sources import tables
 from stepgraph.sources.tables import stored
 
 
@@ -94,3 +95,22 @@ def test_procedures_are_named_in_one_pass(spark):
     found = assembly.named(assembly.segmented(steps))
     assert _plan(found).count("Scan ExistingRDD") == 1
     assert [tuple(r) for r in found.collect()] == [(1, 1, "1", "p.1 - Fit it to 9 N.m", "1")]
+
+
+def test_decoding_works_out_each_step_once(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name, by=None):
+        plans[name] = _plan(df)
+        return tables.stored(df, name, by)
+
+    for module in (decode, extraction, vocabulary):
+        monkeypatch.setattr(module, "stored", stored)
+    pages = spark.createDataFrame([(1, k, f"1. Fit the gear to the frame {'ab'[k - 1]}.\n2. Tighten the gear to 9 N.m.") for k in (1, 2)], "doc_id long, page int, text string")
+    found = decode.decode(pages, spark.createDataFrame([], vocabulary.SEED))
+    spans = found.parts.where("part_id = 'gear'").orderBy("page").collect()
+    assert [(r.page, r.verified, r.quote) for r in spans] == [(1, True, "Fit the gear to the frame a."), (2, True, "Fit the gear to the frame b.")]
+    assert "instr" in plans["rows"] and "instr" not in plans["parts"]  # spans are looked up once
+    assert "regexp_extract_all" in plans["objects"] and "regexp_extract_all" not in plans["phrases"]  # texts are searched once
+    kept = plans["pages"]
+    assert kept.count("LeftSemi") == 1 and kept.count("LeftAnti") == 1  # only documents with recurring lines are taken to lines
