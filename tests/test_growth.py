@@ -114,3 +114,29 @@ def test_decoding_works_out_each_step_once(spark, monkeypatch):
     assert "regexp_extract_all" in plans["objects"] and "regexp_extract_all" not in plans["phrases"]  # texts are searched once
     kept = plans["pages"]
     assert kept.count("LeftSemi") == 1 and kept.count("LeftAnti") == 1  # only documents with recurring lines are taken to lines
+
+
+def test_a_vocabulary_reads_pages_once_and_collects_only_absorbed_names(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name, by=None):
+        plans[name] = _plan(df)
+        return tables.stored(df, name, by)
+
+    monkeypatch.setattr(vocabulary, "stored", stored)
+    text = "Fit the connecting rod and\nfit the bolt.\n 12  GX16-1220  PISTON  1\n 13  GX16-1221  PISTONS  1"
+    rows = [(1, 1, text), (1, 1, text), (1, 2, "Fit the rod. Fit the long connecting rod."), (2, 1, "Fit the Rod."), (2, 2, None), (None, 1, "Fit the rod. Fit the connecting rod."), (3, 1, "")]
+    pages = spark.createDataFrame(rows, "doc_id long, page long, text string")
+    found = vocabulary.lexicon(pages, spark.createDataFrame([("b", "Bolt", ["bolt", "screw"], ["frame"])], vocabulary.SEED))
+    assert sum(plan.count("ExistingRDD") for plan in plans.values()) == 1  # the seed is read in the last plan
+    last = _plan(found)
+    assert "collect_set" in last and "LeftAnti" in last and last.count("max_by") == 2 and last.index("max_by") < last.index("REPARTITION_BY_COL")
+    got = {(r.doc_id, r.part_id): (r.name, r.forms, r.attaches_to, r.part_number, r.discovered) for r in found.collect()}
+    assert got == {
+        (1, "long_connecting_rod"): ("Long connecting rod", ["long connecting rod", "connecting rod", "rod"], [], None, True),
+        (1, "b"): ("Bolt", ["screw", "bolt"], ["frame"], None, False),
+        (1, "piston"): ("Piston", ["piston"], [], "GX16-1220", True),
+        (2, "rod"): ("Rod", ["rod"], [], None, True),
+        (None, "rod"): ("Rod", ["rod"], [], None, True),
+        (None, "connecting_rod"): ("Connecting rod", ["connecting rod"], [], None, True),
+    }
