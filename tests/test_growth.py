@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepgraph.operators import assembly, checks, decode, extraction, graph, procedures, viewer, vocabulary
@@ -140,3 +141,31 @@ def test_a_vocabulary_reads_pages_once_and_collects_only_absorbed_names(spark, m
         (None, "rod"): ("Rod", ["rod"], [], None, True),
         (None, "connecting_rod"): ("Connecting rod", ["connecting rod"], [], None, True),
     }
+
+
+def test_steps_of_mentions_are_read_and_sent_once(spark, monkeypatch):
+    plans = []
+
+    def stored_as_laid(df, name, by):
+        plans.append(_plan(df))
+        return tables.stored_as_laid(df, name, by)
+
+    monkeypatch.setattr(vocabulary, "stored_as_laid", stored_as_laid, raising=False)
+    said = [(1, "Fit the rod."), (1, "Fit the rod."), (1, None), (1, ""), (1, "Lift the cap side"), (None, "Fit the rod."), (None, None), (2, "Fit the rods."), (3, "Fit the rod.")]
+    steps = spark.createDataFrame([(d, k, t) for k, (d, t) in enumerate(said)], "doc_id long, at long, text string").withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("at")))
+    forms = spark.createDataFrame([(1, "rod", "r"), (1, "cap", "c"), (2, "Rod", "s"), (2, "Rod", "s"), (None, "rod", "n"), (3, None, "x"), (3, "rod", None)], "doc_id long, form string, part_id string")
+    found = vocabulary.mentions(steps, forms)
+    assert [(p.count("Scan ExistingRDD"), p.count("Exchange")) for p in plans] == [(1, 1)]  # the exchange is that of pos
+    last = _plan(found)
+    assert last.count("Scan ExistingRDD") == 1 and last.count("Exchange") == 1  # of the forms
+    assert last.count("regexp_extract_all") == 1  # a text is cut into tokens once
+    got = sorted(((r.doc_id, r.at, r.text, r.parts) for r in found.collect()), key=lambda r: r[1])
+    assert got == [(d, k, t, {(1, "Fit the rod."): ["r"], (2, "Fit the rods."): ["s"]}.get((d, t), [])) for k, (d, t) in enumerate(said)]
+    assert found.columns == [*steps.columns, "parts"]
+
+
+def test_rows_stored_as_laid_are_right_however_they_lie(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("by"), "id").repartition(5)
+    found = tables.stored_as_laid(rows, "any", "by")
+    assert found.groupBy("by").agg(F.count("*").alias("n"), F.sum("id").alias("s")).orderBy("by").collect() == rows.groupBy("by").agg(F.count("*").alias("n"), F.sum("id").alias("s")).orderBy("by").collect()
+    assert "Exchange" not in _plan(found.groupBy("by").count())
