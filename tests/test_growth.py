@@ -220,3 +220,18 @@ def test_checks_read_steps_and_parts_once_for_their_identifiers(spark):
         "d": nothing,
         None: nothing,
     }
+
+
+def test_objects_are_counted_where_they_are_sent(spark, monkeypatch):
+    """Else a task holds counts of as many objects as a small file has."""
+    plans = {}
+
+    def stored(df, name, by=None):
+        plans[name] = _plan(df)
+        return tables.stored(df, name, by)
+
+    monkeypatch.setattr(vocabulary, "stored", stored)
+    pages = spark.createDataFrame([(1, 1, "Fit the rod. Fit the\n ROD."), (None, 1, "Fit the rod."), (2, 1, None)], "doc_id long, page long, text string")
+    found = vocabulary.mined(vocabulary.searched(pages))
+    assert plans["counts"].count("Exchange") == 1 and plans["counts"].index("partial_count") < plans["counts"].index("Exchange")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "rod", 2), (None, "rod", 1)]
